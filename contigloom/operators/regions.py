@@ -31,15 +31,17 @@ def explode_bins(regions: DataFrame, begin: str, end: str) -> DataFrame:
     )
 
 
-def reads_starting_in(regions: DataFrame, reads: DataFrame, begin: str, end: str) -> DataFrame:
-    """Join each region to the reads whose start lies in ``[begin, end]``.
+def reads_starting_in(
+    regions: DataFrame, reads: DataFrame, begin: str, end: str, keys: tuple[str, ...] = ("ctg",)
+) -> DataFrame:
+    """Join each region to the reads of equal ``keys`` whose start lies in ``[begin, end]``.
 
     A read has one start bin, so a match is found once; the key (ctg, bin)
     spreads a contig over many partitions and AQE may split a crowded bin.
     """
     r = explode_bins(regions, begin, end)
     a = reads.withColumn("_bin", F.shiftright(F.col("pos").cast("long"), BIN_BITS))
-    return r.join(a, ["ctg", "_bin"]).where(F.col("pos").between(F.col(begin), F.col(end))).drop("_bin")
+    return r.join(a, [*keys, "_bin"]).where(F.col("pos").between(F.col(begin), F.col(end))).drop("_bin")
 
 
 def region_join(regions: DataFrame, reads: DataFrame, begin: str = "begin", end: str = "end") -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contigloom.operators.components import rank_chains
+from contigloom.operators.tiled import exclusive_prefix, number_rows, ordered_neighbours
+from contigloom.session import cut_lineage
+
 
 def strand_evidence(blocks: DataFrame) -> DataFrame:
     """Reads in blocks that agree / disagree in strand, per contig pair (master is '+')."""
@@ -26,3 +31,129 @@ def strand_of_probability(p: Column) -> Column:
 
 def strand_of_evidence(positive: Column, negative: Column) -> Column:
     return F.when(positive < negative, "-").when(positive > negative, "+").otherwise("?")
+
+
+def relative_strands(evidence: DataFrame, components: DataFrame) -> DataFrame:
+    """(asm, ctg, component, prob, strand) against the smallest master contig.
+
+    In a component without cycles one path leads to every contig, and its
+    probability is a product along the path: 2p - 1 multiplies.  The products
+    come from an Euler tour of the tree (ranked by pointer doubling, then a
+    running sum), so a genome-long chain stays distributed.  Components with
+    cycles average over their paths, which the path search below enumerates.
+    """
+    of_master = components.where("asm = 'm'").select(F.col("ctg").alias("m_ctg"), "component")
+    edges = cut_lineage(
+        evidence.join(of_master, "m_ctg").select(
+            "component", (F.col("m_ctg") * 2).alias("a"), (F.col("s_ctg") * 2 + 1).alias("b"), "positive", "negative"
+        )
+    )
+    size = components.groupBy("component").agg(F.count("*").alias("nv"))
+    shape = (
+        edges.groupBy("component").agg(F.count("*").alias("ne")).join(size, "component")
+        .select("component", (F.col("ne") == F.col("nv") - 1).alias("tree"))
+    )
+    shaped = cut_lineage(edges.join(shape, "component"))
+    trees = _tree_probabilities(shaped.where("tree").drop("tree"))
+    cyclic = (
+        shaped.where("not tree")
+        .select("component", "a", "b", "positive", "negative")
+        .groupBy("component")
+        .applyInPandas(_path_probabilities, "component long, vertex long, prob double")
+    )
+    return trees.unionByName(cyclic).select(
+        F.when(F.col("vertex") % 2 == 0, "m").otherwise("s").alias("asm"),
+        F.expr("vertex div 2").alias("ctg"),
+        "component",
+        "prob",
+        strand_of_probability(F.col("prob")).alias("strand"),
+    )
+
+
+def _tree_probabilities(edges: DataFrame) -> DataFrame:
+    step = (F.col("positive") - F.col("negative")) / (F.col("positive") + F.col("negative"))
+    one_way = edges.select("component", F.col("a").alias("u"), F.col("b").alias("v"), step.alias("x"))
+    arcs = one_way.unionByName(one_way.select("component", F.col("v").alias("u"), F.col("u").alias("v"), "x"))
+    arcs = cut_lineage(number_rows(arcs, "u", "v", [F.col("v")], "arc"))
+    around = ordered_neighbours(arcs, ["u"], "v", [F.col("v")], ["arc"])
+    first = arcs.groupBy("u").agg(F.min("arc").alias("first_arc"))
+    # tour: after arriving over u -> v, leave v by the arc that follows v -> u
+    leave = around.join(first, "u").select(
+        "u", "v", F.coalesce("next_arc", "first_arc").alias("leave"), "arc"
+    )
+    arrive = arcs.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("arc").alias("arrive"))
+    root = edges.groupBy("component").agg((F.min("a")).alias("u"))
+    heads = first.join(root, "u").select(F.col("first_arc").alias("leave"), F.lit(True).alias("is_head"))
+    tour = (
+        leave.join(arrive, ["u", "v"])
+        .join(heads, "leave", "left")
+        .select(F.col("leave").alias("node"), F.when(F.col("is_head").isNull(), F.col("arrive")).alias("prev"))
+    )
+    rank = rank_chains(tour).select(F.col("node").alias("arc"), "rank")
+    ranked = cut_lineage(arcs.join(rank, "arc"))
+    back = ranked.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("rank").alias("back"))
+    size = F.abs("x")
+    sign = F.when(F.col("rank") < F.col("back"), 1).otherwise(-1)
+    walked = ranked.join(back, ["u", "v"]).select(
+        "component", "u", "v", "rank", (F.col("rank") < F.col("back")).alias("down"),
+        (sign * F.when(size > 0, F.log(size)).otherwise(0.0)).alias("mag"),
+        (sign * F.when(F.col("x") < 0, 1).otherwise(0)).cast("long").alias("neg"),
+        (sign * F.when(F.col("x") == 0, 1).otherwise(0)).cast("long").alias("zero"),
+    )
+    run = exclusive_prefix(
+        walked, ["component"], "rank", {"_m": ("sum", "mag"), "_n": ("sum", "neg"), "_z": ("sum", "zero")}
+    )
+    product = F.exp(F.col("_m") + F.col("mag"))
+    flips = F.col("_n") + F.col("neg")
+    prob = F.when(F.col("_z") + F.col("zero") > 0, 0.5).otherwise(
+        (1 + F.when(flips % 2 == 0, product).otherwise(-product)) / 2
+    )
+    clamped = F.least(F.greatest(prob, F.lit(0.0)), F.lit(1.0))
+    reached = run.where("down").select("component", F.col("v").alias("vertex"), clamped.alias("prob"))
+    return reached.unionByName(root.select("component", F.col("u").alias("vertex"), F.lit(1.0).alias("prob")))
+
+
+MAX_PATHS = 100
+
+
+def _path_probabilities(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Evidence-weighted mean over simple paths from the smallest master contig.
+
+    A contig keeps at most MAX_PATHS paths and is not extended beyond them; the
+    smallest evidence so far is carried on to the later siblings of a step.
+    """
+    near: dict[int, list] = {}
+    for a, b, p, n in zip(pdf.a.tolist(), pdf.b.tolist(), pdf.positive.tolist(), pdf.negative.tolist()):
+        near.setdefault(a, []).append((b, p / (p + n), p + n))
+        near.setdefault(b, []).append((a, p / (p + n), p + n))
+    for links in near.values():
+        links.sort()
+    root = min(v for v in near if v % 2 == 0)
+    weight, total, count = {root: 1.0}, {root: 1.0}, {root: 1}
+    busy = {root}
+    stack = [[root, 0, 1.0, None]]
+    while stack:
+        top = stack[-1]
+        node, at, prob, least = top
+        if at == len(near[node]):
+            busy.discard(node)
+            stack.pop()
+            continue
+        top[1] += 1
+        nxt, p, seen = near[node][at]
+        if nxt in busy:
+            continue
+        q = prob * p + (1 - prob) * (1 - p)
+        if least is None:  # first step: each neighbour starts afresh
+            low = seen
+        else:
+            low = top[3] = min(least, seen)
+            if count.get(nxt, 0) >= MAX_PATHS:
+                continue
+        weight[nxt] = weight.get(nxt, 0) + low
+        total[nxt] = total.get(nxt, 0) + low * q
+        count[nxt] = count.get(nxt, 0) + 1
+        busy.add(nxt)
+        stack.append([nxt, 0, q, low])
+    rows = [(int(pdf.component.iloc[0]), v, total[v] / weight[v]) for v in total]
+    return pd.DataFrame(rows, columns=["component", "vertex", "prob"])

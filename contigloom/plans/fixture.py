@@ -90,12 +90,19 @@ _CTES = {
  CASE WHEN pos < mpos THEN NOT rev AND mrev ELSE rev AND NOT mrev END AS facing
  FROM asl WHERE (flag & 1796) = 0 AND (flag & 1) <> 0 AND (flag & 64) <> 0 AND (flag & 8) = 0 AND ctg = mctg) t
  WHERE facing AND isize BETWEEN 90 AND 500 GROUP BY lib_id""",
+    "qm": """SELECT ctg_id, name, length, substring(string_agg(translate(md5(CAST(i - 110 AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'),
+ '' ORDER BY i), CAST(any_value(a % 32) AS BIGINT) + 1, 10000) AS sequence FROM (SELECT *, unnest(range(a >> 5, 1 + ((a + 9999) >> 5))) AS i FROM (
+ SELECT *, ctg_id * 10000 + 3520 AS a FROM cm) x) y GROUP BY ctg_id, name, length""",
+    "qs": """SELECT ctg_id, name, length, CASE WHEN ctg_id % 2 = 1 THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS sequence FROM (
+ SELECT ctg_id, name, length, substring(string_agg(translate(md5(CAST(i - 110 AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'),
+ '' ORDER BY i), CAST(any_value(a % 32) AS BIGINT) + 1, 7000) AS q FROM (SELECT *, unnest(range(a >> 5, 1 + ((a + 6999) >> 5))) AS i FROM (
+ SELECT *, ctg_id * 7000 - 3500 + 3520 AS a FROM cs) x) y GROUP BY ctg_id, name, length) z""",
 }
 _NEEDS = {
     "frag": ["k"], "reads": ["frag"], "placed_m": ["reads"], "placed_s": ["reads"],
     "am": ["placed_m"], "asl": ["placed_s"], "um": ["am"], "us": ["asl"],
     "pairs": ["um", "us"], "isl0": ["pairs"], "isl1": ["isl0"], "isl2": ["isl1"],
-    "blk": ["isl2"], "b10": ["blk"], "cm": ["am"], "cs": ["asl"], "libs": ["am"], "libs_s": ["asl"],
+    "blk": ["isl2"], "b10": ["blk"], "cm": ["am"], "cs": ["asl"], "qm": ["cm"], "qs": ["cs"], "libs": ["am"], "libs_s": ["asl"],
 }
 
 
@@ -174,6 +181,23 @@ class Tables:
             F.lit(M_LEN if side == "m" else S_LEN).cast("long").alias("length"),
         )
 
+    def sequences(self, side: str) -> DataFrame:
+        """(ctg_id, name, length, sequence): 32-base genome chunks are hashes of their number."""
+        shift = 3520  # keeps the coordinates of the first slave contig positive
+        start = F.col("ctg_id") * (M_LEN if side == "m" else S_LEN) - (0 if side == "m" else S_SHIFT) + shift
+        df = self.contigs(side).repartition("ctg_id").withColumn("at", start)
+        lo, hi = F.shiftright("at", 5), F.shiftright(F.col("at") + F.col("length") - 1, 5)
+        chunks = F.transform(
+            F.sequence(lo, hi),
+            lambda i: F.translate(
+                F.md5((i - shift // 32).cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"
+            ),
+        )
+        text = F.substring(F.array_join(chunks, ""), F.col("at") - lo * 32 + 1, F.col("length"))
+        if side == "s":
+            text = F.when(F.col("ctg_id") % 2 == 1, F.reverse(F.translate(text, "ACGT", "TGCA"))).otherwise(text)
+        return df.select("ctg_id", "name", "length", text.alias("sequence"))
+
     def libraries(self) -> DataFrame:
         """Both libraries accept inserts of 90 to 500 bases."""
         return self.spark.range(2).select(

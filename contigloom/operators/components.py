@@ -62,6 +62,18 @@ def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _unfinished(stars: DataFrame) -> bool:
+    """Some vertex has two parents, or is both child and parent."""
+    links = stars.where("u <> v")
+    roles = links.select(F.col("u").alias("x"), "v", F.lit(0).alias("is_parent")).unionByName(
+        links.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("v"), F.lit(1).alias("is_parent"))
+    )
+    state = roles.groupBy("x").agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("is_parent").alias("is_parent")
+    )
+    return bool(state.where("lo IS NOT NULL AND (lo <> hi OR is_parent = 1)").limit(1).count())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, component): component is the smallest vertex of each.
 
@@ -71,15 +83,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).distinct()
     stars = cut_lineage(edges.mapInPandas(_local_forest, "u long, v long"))
     vertices = stars.select(F.col("u").alias("vertex")).distinct()
-    while True:
-        # finished when every vertex has one parent and no parent has a parent
-        links = stars.where("u <> v")
-        parents = links.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        open_ones = parents.where("lo <> hi").limit(1).count() or (
-            links.select(F.col("v").alias("u")).join(parents, "u", "left_semi").limit(1).count()
-        )
-        if not open_ones:
-            break
+    while _unfinished(stars):
         stars = cut_lineage(_star(_star(stars, True), False))
     labels = stars.where("u <> v").select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return vertices.join(labels.distinct(), "vertex", "left").select(
@@ -87,19 +91,56 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _local_jumps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Follow the pointers that stay inside one partition to where they leave it."""
+    jump: dict[int, int | None] = {}
+    rank: dict[int, int] = {}
+    for pdf in batches:
+        for node, prev in zip(pdf["node"].tolist(), pdf["prev"].tolist()):
+            jump[node] = None if pd.isna(prev) else int(prev)
+            rank[node] = 0 if pd.isna(prev) else 1
+    settled: dict[int, int] = {}  # node -> the head it ends at, or -1 while it leaves the partition
+    lost: set[int] = set()
+    for start in jump:
+        walk, seen, at = [], set(), start
+        while at not in settled and at not in lost and at not in seen:
+            seen.add(at)
+            walk.append(at)
+            nxt = jump[at]
+            if nxt is None or nxt not in jump:
+                settled[at] = at if nxt is None else -1
+                walk.pop()
+                break
+            at = nxt
+        if at in lost or at in seen and at not in settled:
+            lost.update(walk)  # leads into a cycle
+            continue
+        for node in reversed(walk):
+            after = jump[node]
+            rank[node] += rank[after]
+            settled[node] = settled[after]
+            jump[node] = jump[after]
+    rows = [
+        (node, jump[node], rank[node], settled[node] if jump[node] is None else None)
+        for node in jump
+        if node not in lost
+    ]
+    for at in range(0, len(rows), 65536):
+        part = pd.DataFrame(rows[at : at + 65536], columns=["node", "jump", "rank", "head"])
+        yield part.astype({"jump": "Int64", "head": "Int64"})
+
+
 def rank_chains(nodes: DataFrame) -> DataFrame:
     """Rank list nodes: (node, prev) to (node, head, rank).
 
-    ``prev`` is NULL at the head of a list; pointer doubling takes about
-    log2(longest list) rounds.  Nodes on a cycle have no head and are dropped.
+    ``prev`` is NULL at the head of a list.  Partitions of neighbouring numbers
+    first resolve their own pointers; doubling then takes about log2(partitions
+    a list visits) rounds.  Nodes on a cycle have no head and are dropped.
     """
     state = cut_lineage(
-        nodes.select(
-            F.col("node").cast("long").alias("node"),
-            F.col("prev").cast("long").alias("jump"),
-            F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("rank"),
-            F.when(F.col("prev").isNull(), F.col("node")).cast("long").alias("head"),
-        )
+        nodes.select(F.col("node").cast("long"), F.col("prev").cast("long"))
+        .repartitionByRange("node")
+        .mapInPandas(_local_jumps, "node long, jump long, rank long, head long")
     )
     left = state.where("jump IS NOT NULL").count()
     while left:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contigloom.plans import catalog_blocks, catalog_graph, catalog_reads  # noqa: F401
+from contigloom.plans import catalog_blocks, catalog_graph, catalog_reads, catalog_sequences  # noqa: F401
 from contigloom.plans.registry import ORACLES, QUERIES
 
 

@@ -230,14 +230,13 @@ def _edge_regions(t: Tables, vertices, edges, side: str):
     )
 
 
-def _scores(t: Tables, libs=(0, 1)):
+def _library_scores(t: Tables):
     vertices, edges = _graph(t)
-    out = None
-    for side, aln in (("m", t.master), ("s", t.slave)):
-        stats = t.library_stats(side).where(F.col("lib_id").isin(*libs))
-        scored = ev.edge_scores(_edge_regions(t, vertices, edges, side), aln, stats)
-        out = scored if out is None else out.unionByName(scored)
-    return cut_lineage(out.select("edge_id.src", "edge_id.dst", "weight", F.col("rnum").cast("long").alias("rnum")))
+    sides = [
+        ev.library_edge_scores(_edge_regions(t, vertices, edges, side), aln, t.library_stats(side))
+        for side, aln in (("m", t.master), ("s", t.slave))
+    ]
+    return cut_lineage(sides[0].unionByName(sides[1]))
 
 
 @query(
@@ -248,7 +247,8 @@ def _scores(t: Tables, libs=(0, 1)):
     ),
 )
 def edge_region_score(t: Tables):
-    return _scores(t).withColumn("weight", F.round("weight", 6))
+    best = ev.best_library(_library_scores(t))
+    return best.select("edge_id.src", "edge_id.dst", F.round("weight", 6).alias("weight"), long("rnum").alias("rnum"))
 
 
 _COMBINED = _EDGE + """, pm AS (SELECT p.src, p.dst, p.kind, p.score AS pw, p.num AS pn, m.score AS mw, m.num AS mn FROM sc p JOIN sc m
@@ -259,8 +259,9 @@ _COMBINED = _EDGE + """, pm AS (SELECT p.src, p.dst, p.kind, p.score AS pw, p.nu
 
 def _pe_mp(t: Tables):
     """Library 0 as the paired-end, library 1 as the mate-pair library."""
-    pe = _scores(t, (0,)).select("src", "dst", F.col("weight").alias("pw"), F.col("rnum").alias("pn"))
-    mp = _scores(t, (1,)).select("src", "dst", F.col("weight").alias("mw"), F.col("rnum").alias("mn"))
+    scores = _library_scores(t).select("edge_id.src", "edge_id.dst", "lib_id", "score", "num")
+    pe = scores.where("lib_id = 0").select("src", "dst", F.col("score").alias("pw"), F.col("num").alias("pn"))
+    mp = scores.where("lib_id = 1").select("src", "dst", F.col("score").alias("mw"), F.col("num").alias("mn"))
     both = pe.join(mp, ["src", "dst"])
     weight, rnum = ev.combine_libraries(F.col("pw"), F.col("pn"), F.col("mw"), F.col("mn"))
     return both.withColumn("weight", weight).withColumn("rnum", rnum.cast("long"))
@@ -300,8 +301,8 @@ def fork_class(t: Tables):
 @query(
     "region_zscore",
     oracle(
-        """SELECT r.m_ctg, r.s_ctg, CAST(r.m_begin AS BIGINT) AS m_begin, CAST(l.lib_id AS BIGINT) AS lib_id, CAST(coalesce(n, 0) AS BIGINT) AS inserts,
- round(CASE WHEN coalesce(n, 0) > 5 AND sd > 0 THEN (tot / n - mu) / (sd / sqrt(n)) ELSE 0.0 END, 6) AS z FROM b10 r CROSS JOIN libs l LEFT JOIN (
+        """SELECT r.m_ctg, r.s_ctg, CAST(r.m_begin AS BIGINT) AS m_begin, CAST(l.lib_id AS BIGINT) AS lib_id, CAST(coalesce(x.n, 0) AS BIGINT) AS inserts,
+ round(CASE WHEN coalesce(x.n, 0) > 5 AND sd > 0 THEN (tot / x.n - mu) / (sd / sqrt(x.n)) ELSE 0.0 END, 6) AS z FROM b10 r CROSS JOIN libs l LEFT JOIN (
  SELECT b.m_ctg, b.s_ctg, b.m_begin, i.lib_id, count(*) AS n, sum(i.isize) AS tot FROM b10 b JOIN ins i ON i.ctg = b.m_ctg AND i.pos >= b.m_begin
  AND i.epos - 1 <= b.m_end AND i.mpos >= b.m_begin AND i.mpos + i.epos - i.pos - 1 <= b.m_end GROUP BY b.m_ctg, b.s_ctg, b.m_begin, i.lib_id) x
  ON x.m_ctg = r.m_ctg AND x.s_ctg = r.s_ctg AND x.m_begin = r.m_begin AND x.lib_id = l.lib_id""",

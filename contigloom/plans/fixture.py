@@ -182,21 +182,28 @@ class Tables:
         )
 
     def sequences(self, side: str) -> DataFrame:
-        """(ctg_id, name, length, sequence): 32-base genome chunks are hashes of their number."""
+        """(ctg_id, name, length, sequence) of an assembly."""
+        start = F.col("ctg_id") * (M_LEN if side == "m" else S_LEN) - (0 if side == "m" else S_SHIFT)
+        df = self.contigs(side).repartition("ctg_id").withColumn("start", start)
+        text = F.col("genome")
+        if side == "s":
+            text = F.when(F.col("ctg_id") % 2 == 1, F.reverse(F.translate(text, "ACGT", "TGCA"))).otherwise(text)
+        return self.genome_pieces(df, "start", "length").select("ctg_id", "name", "length", text.alias("sequence"))
+
+    @staticmethod
+    def genome_pieces(df: DataFrame, start: str, length: str) -> DataFrame:
+        """Add ``genome``: that stretch of it; 32-base chunks are hashes of their number."""
         shift = 3520  # keeps the coordinates of the first slave contig positive
-        start = F.col("ctg_id") * (M_LEN if side == "m" else S_LEN) - (0 if side == "m" else S_SHIFT) + shift
-        df = self.contigs(side).repartition("ctg_id").withColumn("at", start)
-        lo, hi = F.shiftright("at", 5), F.shiftright(F.col("at") + F.col("length") - 1, 5)
+        at = F.col(start) + shift
+        lo, hi = F.shiftright(at, 5), F.shiftright(at + F.col(length) - 1, 5)
         chunks = F.transform(
             F.sequence(lo, hi),
             lambda i: F.translate(
                 F.md5((i - shift // 32).cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"
             ),
         )
-        text = F.substring(F.array_join(chunks, ""), F.col("at") - lo * 32 + 1, F.col("length"))
-        if side == "s":
-            text = F.when(F.col("ctg_id") % 2 == 1, F.reverse(F.translate(text, "ACGT", "TGCA"))).otherwise(text)
-        return df.select("ctg_id", "name", "length", text.alias("sequence"))
+        text = F.substring(F.array_join(chunks, ""), (at - lo * 32 + 1).cast("int"), F.col(length).cast("int"))
+        return df.withColumn("genome", text)
 
     def libraries(self) -> DataFrame:
         """Both libraries accept inserts of 90 to 500 bases."""

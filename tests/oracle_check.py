@@ -79,7 +79,7 @@ def main(sf: str, names: list[str]) -> int:
         try:
             ok, msg = compare(spark, con, sf_dir, q[name], o.get(name))
         except Exception as exc:  # report and go on
-            ok, msg = False, f"{type(exc).__name__}: {str(exc)[:600]}"
+            ok, msg = False, f"{type(exc).__name__}: {str(exc)[:4000]}"
         bad += not ok
         print(("ok  " if ok else "BAD ") + name + ": " + msg, flush=True)
     print(f"{bad} bad")

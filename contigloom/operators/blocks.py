@@ -95,29 +95,35 @@ def _collinear_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys).agg(F.bool_and(touches).alias("single"))
 
 
+def _settle(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the cells that are proved single, and the pairs of the others."""
+    marked = cut_lineage(cells.join(_collinear_cells(cells, keys), keys))
+    return _summarise(marked.where("single"), keys).select(*BLOCK_COLUMNS), marked.where("not single").drop("single")
+
+
 def build_blocks(pairs: DataFrame, min_reads: int = 1) -> DataFrame:
     """Exact blocks for any input.
 
-    No block crosses an island of either axis, so pairs are cut into cells of
-    slave islands, then master islands within them, then slave islands again.
-    Cells proved to be one block are aggregated; only the tangled rest goes
-    through the ordered pass, which streams a cell and holds its open blocks.
+    No block crosses an island of either axis.  Pairs are cut into slave islands;
+    what is not proved a single block there is cut into master islands within
+    them, then slave islands again.  Only the tangled rest goes through the
+    ordered pass, which streams a cell and holds its open blocks.
     """
     cells = _label_islands(cut_lineage(collapse_pairs(pairs)), PAIR, "s", "c1")
-    cells = _label_islands(cells, [*PAIR, "c1"], "m", "c2")
-    keys = [*PAIR, "c1", "c2", "c3"]
-    cells = cut_lineage(_label_islands(cells, keys[:-1], "s", "c3"))
-    marked = cells.join(_collinear_cells(cells, keys), keys)
-    plain = _summarise(marked.where("single"), keys).select(*BLOCK_COLUMNS)
-    tangled = (
-        marked.where("not single")
-        .select(*keys, *COORDS, "n", "n_conc")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, *COORDS)
-        .groupBy(*keys)
-        .applyInPandas(stream_blocks, BLOCK_SCHEMA)
-    )
-    return plain.unionByName(tangled).where(F.col("num_reads") >= min_reads)
+    blocks, rest = _settle(cells, [*PAIR, "c1"])
+    if rest.limit(1).count():
+        keys = [*PAIR, "c1", "c2", "c3"]
+        cells = _label_islands(rest, keys[:-2], "m", "c2")
+        more, tangled = _settle(_label_islands(cells, keys[:-1], "s", "c3"), keys)
+        streamed = (
+            tangled.select(*keys, *COORDS, "n", "n_conc")
+            .repartition(*keys)
+            .sortWithinPartitions(*keys, *COORDS)
+            .groupBy(*keys)
+            .applyInPandas(stream_blocks, BLOCK_SCHEMA)
+        )
+        blocks = blocks.unionByName(more).unionByName(streamed)
+    return blocks.where(F.col("num_reads") >= min_reads)
 
 
 def with_frame_coverage(blocks: DataFrame, master_reads: DataFrame, slave_reads: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contigloom.operators.tiled import exclusive_prefix, island_starts, ordered_neighbours
-from contigloom.session import cut_lineage
+from contigloom.session import cut_lineage, spread
 
 WORD = 20
 _CHUNK = 4096
@@ -25,7 +27,7 @@ def words(df: DataFrame, id_col: str, seq: Column, word: int = WORD) -> DataFram
             )
         ).alias("p"),
     ).where(F.length("p.piece") >= word)
-    return pieces.select(
+    return spread(pieces).select(
         id_col,
         F.explode(
             F.transform(
@@ -81,35 +83,45 @@ def _run_diagonals(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
 
 
 def diagonal_hits(a_words: DataFrame, b_words: DataFrame, id_col: str) -> DataFrame:
-    """(id, diag, hits): shared words per diagonal ``a - b >= 0``."""
-    many = F.lit(_DIRECT_PAIRS)
-    a_count = a_words.groupBy(id_col, "word").agg(F.count("*").alias("na"))
-    b_count = b_words.groupBy(id_col, "word").agg(F.count("*").alias("nb"))
-    heavy = cut_lineage(
-        a_count.where("na > 1").join(b_count, [id_col, "word"]).where(F.col("na") * F.col("nb") > many)
-        .unionByName(
-            a_count.where("na = 1").join(b_count.where(F.col("nb") > many), [id_col, "word"])
-        )
-        .select(id_col, "word")
-    )
-    if heavy.limit(1).count() == 0:
-        light_a, light_b = a_words, b_words
-    else:
-        light_a = a_words.join(heavy, [id_col, "word"], "left_anti")
-        light_b = b_words.join(heavy, [id_col, "word"], "left_anti")
-    other = light_b.select(id_col, "word", F.col("at").alias("b_at"))
-    hits = (
-        light_a.join(other, [id_col, "word"])
-        .where("at >= b_at")
-        .groupBy(id_col, (F.col("at") - F.col("b_at")).alias("diag"))
-        .agg(F.count("*").alias("hits"))
+    """(id, diag, hits): shared words per diagonal ``a - b >= 0``.
+
+    One aggregate over both sides finds the shared words and settles those that
+    occur once on each side; only repeated words are joined, and of those the
+    frequent ones go through runs.
+    """
+    nothing = F.lit(None).cast("long")
+    both = a_words.select(id_col, "word", F.col("at").alias("a"), nothing.alias("b")).unionByName(
+        b_words.select(id_col, "word", nothing.alias("a"), F.col("at").alias("b"))
     )
-    if light_a is a_words:
-        return hits
-    hot = _run_diagonals(
-        a_words.join(heavy, [id_col, "word"], "left_semi"), b_words.join(heavy, [id_col, "word"], "left_semi"), id_col
+    shared = cut_lineage(
+        both.groupBy(id_col, "word")
+        .agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.min("a").alias("a"), F.min("b").alias("b"))
+        .where("na > 0 AND nb > 0")
     )
-    return hits.unionByName(hot).groupBy(id_col, "diag").agg(F.sum("hits").alias("hits"))
+    found = [
+        shared.where("na = 1 AND nb = 1 AND a >= b").groupBy(id_col, (F.col("a") - F.col("b")).alias("diag")).agg(F.count("*").alias("hits"))
+    ]
+    repeated = shared.where("na > 1 OR nb > 1")
+    # na * nb as doubles: the product may not fit a long
+    heavy = repeated.where(F.col("na").cast("double") * F.col("nb") > _DIRECT_PAIRS).select(id_col, "word")
+    light = repeated.where(F.col("na").cast("double") * F.col("nb") <= _DIRECT_PAIRS).select(id_col, "word")
+    if light.limit(1).count():
+        other = b_words.join(light, [id_col, "word"], "left_semi").select(id_col, "word", F.col("at").alias("b_at"))
+        found.append(
+            a_words.join(light, [id_col, "word"], "left_semi")
+            .join(other, [id_col, "word"])
+            .where("at >= b_at")
+            .groupBy(id_col, (F.col("at") - F.col("b_at")).alias("diag"))
+            .agg(F.count("*").alias("hits"))
+        )
+    if heavy.limit(1).count():
+        found.append(
+            _run_diagonals(
+                a_words.join(heavy, [id_col, "word"], "left_semi"), b_words.join(heavy, [id_col, "word"], "left_semi"), id_col
+            )
+        )
+    hits = reduce(DataFrame.unionByName, found)
+    return hits if len(found) == 1 else hits.groupBy(id_col, "diag").agg(F.sum("hits").alias("hits"))
 
 
 def best_diagonals(a_words: DataFrame, b_words: DataFrame, id_col: str) -> DataFrame:

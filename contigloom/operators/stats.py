@@ -23,13 +23,18 @@ def facing_pair() -> Column:
 
 
 def insert_sizes(good: DataFrame, libraries: DataFrame, require_paired: bool = True) -> DataFrame:
-    """Usable inserts of first mates; ``libraries``: lib_id, min_isize, max_isize (one row per file)."""
+    """(lib_id, isize, n): how often each usable insert of first mates occurs.
+
+    The histogram comes first, so a library holding most reads is combined before
+    it meets ``libraries`` (lib_id, min_isize, max_isize; one row per file).
+    """
     cond = has_flag("first_mate") & ~has_flag("mate_unmapped") & (F.col("ctg") == F.col("mctg"))
     if require_paired:
         cond = cond & has_flag("paired")
     return (
         good.where(cond & facing_pair())
-        .withColumn("isize", insert_size())
+        .groupBy("lib_id", insert_size().cast("long").alias("isize"))
+        .agg(F.count("*").alias("n"))
         .join(libraries, "lib_id")
         .where(F.col("isize").between(F.col("min_isize"), F.col("max_isize")))
     )
@@ -37,15 +42,20 @@ def insert_sizes(good: DataFrame, libraries: DataFrame, require_paired: bool = T
 
 def insert_size_stats(good: DataFrame, libraries: DataFrame, require_paired: bool = True) -> DataFrame:
     """Mean and deviation per library; the deviation divides by n + 1."""
-    n = F.count("isize")
-    return (
+    # moments are taken from the smallest insert allowed, to keep the sums small
+    d = (F.col("isize") - F.col("min_isize")).cast("double")
+    sums = (
         insert_sizes(good, libraries, require_paired)
-        .groupBy("lib_id")
-        .agg(
-            n.alias("n"),
-            F.avg("isize").alias("isize_mean"),
-            F.sqrt(F.var_pop("isize") * n / (n + F.lit(1))).alias("isize_std"),
-        )
+        .groupBy("lib_id", "min_isize")
+        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * d).alias("d1"), F.sum(F.col("n") * d * d).alias("d2"))
+    )
+    mean = F.col("d1") / F.col("n")
+    spread = F.greatest(F.col("d2") - F.col("d1") * mean, F.lit(0.0))
+    return sums.select(
+        "lib_id",
+        "n",
+        (F.col("min_isize") + mean).alias("isize_mean"),
+        F.sqrt(spread / (F.col("n") + 1)).alias("isize_std"),
     )
 
 

@@ -21,12 +21,12 @@ def _read_cols(df):
 
 @query("good_reads", oracle(f"SELECT {_READ_SQL} FROM am WHERE (flag & 1796) = 0 AND pos >= 0", "am"))
 def good_reads(t: Tables):
-    return _read_cols(reads.good_reads(t.master))
+    return _read_cols(reads.good_reads(t.alignments("m")))
 
 
 @query("unique_reads", oracle(f"SELECT {_READ_SQL} FROM asl WHERE (flag & 1796) = 0 AND nh = 1", "asl"))
 def unique_reads(t: Tables):
-    return _read_cols(reads.usable_reads(t.slave))
+    return _read_cols(reads.usable_reads(t.alignments("s")))
 
 
 @query(
@@ -51,7 +51,7 @@ def unique_reads(t: Tables):
 )
 def flag_predicates(t: Tables):
     edited = reads.set_flag("duplicate", False, reads.set_flag("failed_qc", True))
-    return t.master.groupBy(long("ctg").alias("ctg")).agg(
+    return t.alignments("m").groupBy(long("ctg").alias("ctg")).agg(
         F.count("*").alias("n"),
         *[F.count_if(reads.has_flag(b)).alias(f"n_{b}") for b in reads.FLAG_BITS],
         F.sum(long(edited)).alias("edited_flags"),
@@ -64,7 +64,7 @@ _CIGAR_SQL = """CASE WHEN len % 3 = 0 THEN concat(CAST(len AS STRING), 'M')
 
 
 def _with_cigar(t: Tables):
-    return t.master.withColumn("cigar", cg.parse_cigar(F.expr(_CIGAR_SQL)))
+    return t.alignments("m").withColumn("cigar", cg.parse_cigar(F.expr(_CIGAR_SQL)))
 
 
 @query(
@@ -146,7 +146,7 @@ def _with_tags(t: Tables):
     nh = value(F.when(F.col("ctg") % 2 == 0, "i").otherwise("C"), F.col("nh"))
     xt = value(F.lit("A"), F.lit(85))
     base = F.create_map(F.lit("NH"), nh)
-    return t.master.withColumn(
+    return t.alignments("m").withColumn(
         "tags", F.when(F.col("mate") == 1, F.map_concat(base, F.create_map(F.lit("XT"), xt))).otherwise(base)
     )
 
@@ -338,7 +338,7 @@ def multi_bam_union(t: Tables):
 def region_scan(t: Tables):
     from contigloom.operators.regions import region_scan as scan
 
-    return _read_cols(scan(t.master, 1, 2000, 4001))
+    return _read_cols(scan(t.alignments("m"), 1, 2000, 4001))
 
 
 @query(
@@ -369,7 +369,7 @@ def n50_stats(t: Tables):
 )
 def interval_flip(t: Tables):
     begin, end = iv.flip(F.col("pos"), F.col("epos") - 1, F.lit(7000))
-    return t.slave.select(
+    return t.alignments("s").select(
         "name", long("mate").alias("mate"), long(begin).alias("begin"), long(end).alias("end")
     )
 
@@ -395,7 +395,7 @@ def sort_by_position(t: Tables):
 def sort_by_name(t: Tables):
     from contigloom.operators.ordering import sort_by_name as by_name
 
-    return by_name(t.slave).select("name", long("mate").alias("mate"), long("pos").alias("pos"))
+    return by_name(t.alignments("s")).select("name", long("mate").alias("mate"), long("pos").alias("pos"))
 
 
 @query(

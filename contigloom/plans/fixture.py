@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contigloom.session import cut_lineage, spread
+
 M_LEN, S_LEN, S_SHIFT = 10000, 7000, 3500
 
 _K = """SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_quantity) AS q,
@@ -143,11 +145,12 @@ class Tables:
 
     @cached_property
     def master(self) -> DataFrame:
-        return self.alignments("m")
+        """Alignments as a stored table, for queries that read them more than once."""
+        return cut_lineage(self.alignments("m"))
 
     @cached_property
     def slave(self) -> DataFrame:
-        return self.alignments("s")
+        return cut_lineage(self.alignments("s"))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -184,7 +187,7 @@ class Tables:
     def sequences(self, side: str) -> DataFrame:
         """(ctg_id, name, length, sequence) of an assembly."""
         start = F.col("ctg_id") * (M_LEN if side == "m" else S_LEN) - (0 if side == "m" else S_SHIFT)
-        df = self.contigs(side).repartition("ctg_id").withColumn("start", start)
+        df = spread(self.contigs(side), "ctg_id").withColumn("start", start)
         text = F.col("genome")
         if side == "s":
             text = F.when(F.col("ctg_id") % 2 == 1, F.reverse(F.translate(text, "ACGT", "TGCA"))).otherwise(text)

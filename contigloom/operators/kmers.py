@@ -40,8 +40,8 @@ def words(df: DataFrame, id_col: str, seq: Column, word: int = WORD) -> DataFram
 
 def _runs(positions: DataFrame, id_col: str) -> DataFrame:
     """Consecutive positions of one word as (begin, length)."""
-    rows = positions.withColumn("_reach", F.col("at"))
-    labelled = island_starts(rows, [id_col, "word"], "at", "_reach", "begin")
+    rows = positions.withColumn("last", F.col("at"))
+    labelled = island_starts(rows, [id_col, "word"], "at", "last", "begin")
     return labelled.groupBy(id_col, "word", "begin").agg(F.count("*").alias("len"))
 
 

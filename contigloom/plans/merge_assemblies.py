@@ -171,3 +171,22 @@ def merge(blocks_before: DataFrame, blocks: DataFrame, master: Assembly, slave:
 
 def merged_pieces(result: Merged, master: Assembly, slave: Assembly) -> DataFrame:
     return mg.segment_bases(result.segments, master.contigs, slave.contigs)
+
+
+def write(result: Merged, master: Assembly, slave: Assembly, prefix: str) -> None:
+    """Merged contigs, their descriptor, slave contigs left over, and the graph census."""
+    from contigloom.sinks import textfiles as sink
+
+    lines = mg.fasta_of_segments(merged_pieces(result, master, slave))
+    names = result.segments.select("pctg").distinct().withColumn(
+        "name", F.concat(F.lit(mg.NAME_PREFIX), F.col("pctg").cast("string"))
+    )
+    sink.write_fasta(names, lines, "pctg", f"{prefix}.fasta")
+    merged_rows = result.segments.join(result.used_master.select(F.col("ctg_id").alias("ctg")), "ctg", "left_semi").where("asm = 'm'")
+    last = merged_rows.agg(F.max("pctg")).first()[0]
+    rows = mg.descriptor(result.segments, master.dictionary, slave.dictionary)
+    sink.write_descriptor(rows, f"{prefix}.pctgs", -1 if last is None else last + 1)
+    left = slave.contigs.join(result.unmerged_slave.select("ctg_id"), "ctg_id", "left_semi")
+    sink.write_contigs(left, f"{prefix}.notmerged.fasta")
+    census = sink.stats_lines(ag.class_census(result.classes))
+    census.coalesce(1).sortWithinPartitions("ord").select("value").write.mode("overwrite").text(f"{prefix}.stats")

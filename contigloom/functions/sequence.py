@@ -39,14 +39,8 @@ def bases_match(a: Column, b: Column) -> Column:
 
 
 def fasta_lines(seq: Column, width: int = 60) -> Column:
-    """Sequence as an array of lines of ``width`` bases."""
-    rows = F.ceil(F.length(seq) / F.lit(width)).cast("int")
-    return F.when(rows == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(rows - 1, F.lit(0))),
-            lambda i: F.substring(seq, i * width + 1, F.lit(width)),
-        )
-    )
+    """Sequence as an array of lines of ``width`` bases, cut in one pass."""
+    return F.regexp_extract_all(seq, F.lit(rf"(.{{1,{width}}})"), F.lit(1))
 
 
 def valid_letters(line: Column) -> Column:

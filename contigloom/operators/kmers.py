@@ -11,28 +11,29 @@ from contigloom.operators.tiled import exclusive_prefix, island_starts, ordered_
 from contigloom.session import cut_lineage, spread
 
 WORD = 20
-_CHUNK = 4096
+_CHUNK = 256
 # beyond this many position pairs a word takes the run path
 _DIRECT_PAIRS = 4096
 
 
 def words(df: DataFrame, id_col: str, seq: Column, word: int = WORD) -> DataFrame:
-    """(id, word, at) for every word of a sequence, cut in pieces first so no row grows."""
-    pieces = df.select(
-        id_col,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(_CHUNK)),
-                lambda at: F.struct(at.alias("base"), F.substring(seq, at + 1, F.lit(_CHUNK + word - 1)).alias("piece")),
-            )
-        ).alias("p"),
-    ).where(F.length("p.piece") >= word)
+    """(id, word, at) for every word of a sequence.
+
+    The sequence is cut in one pass into short overlapping pieces, because a
+    substring far into a string costs its distance from the start.
+    """
+    overlapping = rf"(?=(.{{1,{_CHUNK + word - 1}}})).{{1,{_CHUNK}}}"
+    pieces = (
+        df.select(id_col, F.posexplode(F.regexp_extract_all(seq, F.lit(overlapping), F.lit(1))).alias("n", "piece"))
+        .select(id_col, F.struct((F.col("n").cast("long") * _CHUNK).alias("base"), "piece").alias("p"))
+        .where(F.length("p.piece") >= word)
+    )
     return spread(pieces).select(
         id_col,
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.length("p.piece") - word),
-                lambda i: F.struct(F.substring(F.col("p.piece"), i + 1, F.lit(word)).alias("word"), (F.col("p.base") + i).cast("long").alias("at")),
+                lambda i: F.struct(F.substring(F.col("p.piece"), i + 1, F.lit(word)).alias("word"), (F.col("p.base") + i).alias("at")),
             )
         ).alias("w"),
     ).select(id_col, "w.word", "w.at")

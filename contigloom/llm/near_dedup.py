@@ -13,10 +13,11 @@ sets.  Candidates come from signatures of 48 MinHash values of 16 bits:
 
 No bucket is expanded into all its pairs.  First every member of a bucket is
 compared with the smallest one (a star), the confirmed links give components,
-and only buckets that still hold several components are compared pair by pair,
-in blocks of bounded size, across components, and only where sizes and
-signatures allow a link.  Texts of equal sets are one class from the start, so
-exact copies never meet.
+and only buckets that still hold several components are looked at once more: in
+blocks of bounded size, the members outside the largest component are held
+against all others, and only confirmed links that join components leave the
+task.  Texts of equal sets are one class from the start, so exact copies never
+meet.
 
 Rows: repeated rows give repeated rows.  Null or empty texts have an empty set,
 are linked with nothing, and are their own component.  A null id takes no part:
@@ -38,9 +39,8 @@ from contigloom.session import cut_lineage
 
 _U = np.uint64
 SLOTS, CHUNK = 48, 4
-MOST_DIFFERENT = 23
-#: Members of a bucket block; a task compares two blocks at most.
-BLOCK = 2000
+#: Shingles of a bucket block; two blocks at most are held against each other at a time.
+BLOCK = 1 << 20
 #: Members a leader's set meets in one task.
 STAR = 500
 
@@ -165,6 +165,12 @@ def _compare(similarity: int):
     return run
 
 
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, cls, set) of the ids asked for (column id), and perhaps of a few others."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(_packed_sets(words, Bitmap.of(ids, "id")), "doc_id long, cls binary, set binary")
+
+
 def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: int) -> DataFrame:
     """The pairs (a, b) of class ids that the full sets link, as (u, v).
 
@@ -177,74 +183,89 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, s
     )
     leaders = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"))
     to = members.unionByName(leaders).join(classes.select(F.col("rep").alias("b"), F.col("cls").alias("want")), "b")
-    wanted = Bitmap.of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _packed_sets(words, wanted), "doc_id long, cls binary, set binary"
-    )
+    sets = _sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), words)
     rows = sets.join(to, (F.col("doc_id") == F.col("b")) & (F.col("cls") == F.col("want"))).select("a", "salt", "role", "b", "set")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return dealt.mapInArrow(_compare(similarity), "u long, v long")
 
 
-def _close_pairs(similarity: int):
-    """Rows sorted by (key, part): pairs of a bucket that lie in different components and may be linked."""
-    least = SLOTS - MOST_DIFFERENT
-
-    def pairs(ids, comps, sizes, home, sigs, mine, other):
-        left, right = [], []
-        for i in range(len(ids)):
-            # a pair of two blocks is made in the part of both, a pair of one block in its own
-            meets = (comps[i + 1 :] != comps[i]) & ((home[i + 1 :] != home[i]) | (mine == other))
-            small, large = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-            at = np.flatnonzero(meets & (100 * small >= similarity * large))
-            at = at[(sigs[i + 1 :][at] == sigs[i]).sum(axis=1) >= least]
-            left.extend([int(ids[i])] * len(at))
-            right.extend(ids[i + 1 :][at].tolist())
-        return left, right
-
-    def out(rows):
-        mine, other = rows[0][1:3]
-        cols = list(zip(*rows))
-        sigs = np.frombuffer(b"".join(cols[7]), np.uint16).reshape(-1, SLOTS)
-        a, b = pairs(*(np.array(cols[c]) for c in (4, 5, 6, 3)), sigs, mine, other)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+def _joining(rows: list[tuple], similarity: int) -> list[tuple[int, int]]:
+    """Confirmed links between components among the members of one or two blocks of a bucket.
+
+    ``rows`` are (key, mine, other, home, id, component, set).
+    """
+    ids, comps, homes = (np.array([r[i] for r in rows]) for i in (4, 5, 3))
+    sets = [_unpacked(r[6]) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    shingles, number = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(shingles), np.int32)
+    _, label = np.unique(comps, return_inverse=True)
+    one_block = rows[0][1] == rows[0][2]
+    links = []
+    for i in np.flatnonzero(label != np.bincount(label).argmax()):
+        other = label != label[i]
+        if not one_block:  # pairs of the same block meet in the part of that block alone
+            other &= homes != homes[i]
+        if not other.any():
+            continue
+        own = number[begin[i] : begin[i] + sizes[i]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[number], begin)
+        marked[own] = 0
+        linked = np.flatnonzero(other & (100 * both >= similarity * (sizes + sizes[i] - both)))
+        for j in linked:
+            if label[j] != label[i]:
+                links.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _close_links(similarity: int):
+    """Rows sorted by (key, mine, other), a part of a bucket at a time."""
 
     def run(batches):
         held, at = [], None
+
+        def out():
+            links = _joining(held, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
+
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "mine", "other", "home", "id", "component", "n", "sig"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "mine", "other", "home", "id", "component", "set"))):
                 if row[:3] != at and held:
-                    yield out(held)
+                    yield out()
                     held = []
                 at = row[:3]
                 held.append(row)
         if held:
-            yield out(held)
+            yield out()
 
     return run
 
 
-def _rest(buckets: DataFrame, components: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Candidate pairs across components in buckets of three and more that hold several components."""
+def _rest(docs: DataFrame, buckets: DataFrame, components: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links (u, v) across components in buckets of three and more that still hold several."""
     labelled = buckets.join(components, buckets.id == components.vertex, "left").select(
         "key", "id", "n", F.coalesce("component", "id").alias("component")
     )
     mixed = (
         labelled.groupBy("key")
-        .agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo <> hi AND size >= 3")
+        .select("key", F.ceil(F.col("shingles") / F.lit(BLOCK)).cast("int").alias("blocks"))
     )
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    members = stored(labelled.join(mixed, "key"), "mixed")
     rows = (
-        labelled.join(mixed.select("key", blocks.alias("blocks")), "key")
-        .withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        members.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "id", "n", "component", "home", F.least("home", "with").alias("mine"), F.greatest("home", "with").alias("other"))
-        .join(classes.select(F.col("rep").alias("id"), "sig"), "id")
+        .select("key", "id", "component", "home", F.least("home", "with").alias("mine"), F.greatest("home", "with").alias("other"))
+        .join(classes.select(F.col("rep").alias("id"), F.col("cls").alias("want")), "id")
     )
-    keys = ["key", "mine", "other"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_close_pairs(similarity), "a long, b long").distinct()
+    sets = _sets(docs, members.select("id"), words)
+    parts = ["key", "mine", "other"]
+    sent = sets.join(rows, (F.col("doc_id") == F.col("id")) & (F.col("cls") == F.col("want"))).select(*parts, "home", "id", "component", "set")
+    return sent.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(_close_links(similarity), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
@@ -265,10 +286,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     stars = cut_lineage(buckets.where((F.col("id") != F.col("leader")) & allowed).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     links = cut_lineage(confirm(docs, classes, stars, words, similarity))
     components = connected_components(links)
-    rest = cut_lineage(_rest(buckets, components, classes, similarity).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(confirm(docs, classes, rest, words, similarity))
-        components = connected_components(links)
+    more = cut_lineage(_rest(docs, buckets, components, classes, words, similarity))
+    if not more.isEmpty():
+        components = connected_components(links.unionByName(more))
     named = classes.join(components, classes.rep == components.vertex, "left").select("cls", F.coalesce("component", "rep").alias("found"))
     rows = sketches.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("found"))

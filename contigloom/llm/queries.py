@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contigloom.llm import near_dedup
-from contigloom.llm.shared import table
+from contigloom.llm import decontaminate, licenses, near_dedup, ppm
+from contigloom.llm.shared import crc_part, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +28,10 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 _NEAR_SQL = rf"""
 WITH RECURSIVE w AS (
-    SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+    SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
     SELECT DISTINCT doc_id, unnest(CASE
-        WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' '))
+        WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
     FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
@@ -53,6 +54,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=80)
 
 
+@query("op1_ppm")
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.ppm_scores(table(spark, sf_dir, "documents"), crc_part(F.col("doc_id"), 7) == 2)
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

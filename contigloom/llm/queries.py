@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigloom.llm import decontaminate, licenses, near_dedup, ppm
+from contigloom.llm import chat, decontaminate, lengths, licenses, mixing, near_dedup, pii, ppm, quality, topk
 from contigloom.llm.shared import crc_part, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +70,59 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_top_k")
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+#: Target weights of the mix, by level; nodes that are not named have weight 1.
+MIX_WEIGHTS = {
+    "domain": {"domain0": 30, "domain1": 30, "domain2": 25, "domain3": 15},
+    "lang": {"en": 60, "de": 15, "fr": 15, "es": 10},
+}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 4, 7
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_tokens", "mix_epochs", "mix_extra")
+
+
+#: Where the public vocabularies lie; a parameter of the installation.
+RANKS = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+@query("op7_lengths")
+def op7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = lengths.token_counts(table(spark, sf_dir, "documents"), lengths.read_ranks(RANKS))
+    return lengths.running(lengths.histogram(counts))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_part(F.col("doc_id"), 5) != 0)
+    return quality.scores(docs, model, ["doc_id"]).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (crc_part(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query("op10_perspectives")
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -42,7 +42,7 @@ from contigloom.llm import words as W
 from contigloom.llm.shared import stored
 
 _U = np.uint64
-ORDER = 5
+ORDER = 4
 #: Bytes of text in a block; one text alone may be larger.
 BLOCK = 32 << 20
 _WORD, _GRAM, _TEXT = 0, 1, 2

@@ -65,14 +65,16 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], total: int, m
     ``weights`` has whole numbers by level (domain, lang, source) and name.
     """
     rows = leaves.withColumn("capacity", (F.col("tokens") * most_epochs).cast(_WHOLE))
+    weight = {}
+    for level in LEVELS:
+        weight[level] = F.lit(other)
+        for name, w in sorted(weights.get(level.removeprefix("mix_"), {}).items()):
+            weight[level] = F.when(F.col(level) == name, F.lit(w)).otherwise(weight[level])
+        rows = rows.where(weight[level] > 0)  # what is left out has no capacity at any level
     given = None
     for depth, level in enumerate(LEVELS):
         above, here = list(LEVELS[:depth]), list(LEVELS[: depth + 1])
-        weight = F.lit(other)
-        for name, w in sorted(weights.get(level.removeprefix("mix_"), {}).items()):
-            weight = F.when(F.col(level) == name, F.lit(w)).otherwise(weight)
-        nodes = rows.groupBy(*here).agg(F.sum("capacity").cast(_WHOLE).alias("capacity")).withColumn("weight", weight.cast(_WHOLE))
-        nodes = nodes.where("weight > 0")
+        nodes = rows.groupBy(*here).agg(F.sum("capacity").cast(_WHOLE).alias("capacity")).withColumn("weight", weight[level].cast(_WHOLE))
         nodes = nodes.join(given, above) if given is not None else nodes.withColumn("budget", F.lit(total).cast(_WHOLE))
         order = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
         along = order.orderBy(F.col("capacity").cast("double") / F.col("weight").cast("double"), level)
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float,
         *LEVELS, F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("mix_epochs"), (F.col("budget") % F.col("tokens")).cast("long").alias("mix_rest")
     )
     # the order of the epoch that is not whole; documents of one id are told apart by their text
-    document = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")).cast("string")]
+    document = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("text").cast("binary"))]
     place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "mix_epochs", *document).cast("binary")), 1, 15), 16, 10).cast("long")
     placed = rows.join(given, list(LEVELS)).withColumn("mix_place", place).withColumn("mix_range", F.shiftright("mix_place", 60 - RANGE_BITS))
     ranges = placed.groupBy(*LEVELS, "mix_range").agg(F.sum("mix_tokens").alias("mix_sum"))

@@ -70,7 +70,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_top_k")
+_TOP_K_SQL = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score
+    FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
+@query("op3_top_k", _TOP_K_SQL)
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
@@ -84,7 +97,64 @@ MIX_WEIGHTS = {
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 4, 7
 
 
-@query("op5_mixing")
+def _mix_sql() -> str:
+    """The mix in DuckDB: the tree level by level, then running sums over each leaf's order."""
+
+    def weight(level):
+        cases = " ".join(f"WHEN '{n}' THEN {w}" for n, w in MIX_WEIGHTS.get(level, {}).items())
+        return f"CASE mix_{level} {cases} ELSE 1 END" if cases else "1"
+
+    def filled(level, above):
+        keys = ", ".join([*above, f"mix_{level}"])
+        parent = f"PARTITION BY {', '.join(above)}" if above else ""
+        budget = f"given_{above[-1]}" if above else "(SELECT floor(sum(tokens) * {share})::HUGEINT FROM leaves)".format(share=MIX_SHARE)
+        join = f"JOIN {budget} g USING ({', '.join(above)})" if above else ""
+        amount = "g.budget" if above else budget
+        order = f"{parent} ORDER BY capacity::DOUBLE / weight, mix_{level}"
+        return f"""
+n_{level} AS (
+    SELECT *, budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS here,
+           sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+    FROM (SELECT {keys}, {amount} AS budget, sum(tokens)::HUGEINT * {MIX_EPOCHS} AS capacity, any_value({weight(level)})::HUGEINT AS weight
+          FROM leaves {join} GROUP BY {keys}{", g.budget" if above else ""})
+), s_{level} AS (
+    SELECT *, first_value(CASE WHEN capacity * weights > here * weight THEN here END IGNORE NULLS) OVER w AS h,
+           first_value(CASE WHEN capacity * weights > here * weight THEN weights END IGNORE NULLS) OVER w AS ws
+    FROM n_{level} WINDOW w AS ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), given_mix_{level} AS (
+    SELECT {keys}, CASE WHEN h IS NULL THEN capacity ELSE least(h * weight // ws, capacity) END AS budget FROM s_{level}
+)"""
+
+    levels, above = [], []
+    for level in ("domain", "lang", "source"):
+        levels.append(filled(level, above))
+        above = [*above, f"mix_{level}"]
+    return rf"""
+WITH rows AS (
+    SELECT doc_id, text, coalesce(lang, 'unknown') AS mix_lang, coalesce(source, 'unknown') AS mix_source,
+           CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
+                ELSE 'domain' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 4) END AS mix_domain,
+           len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS mix_tokens
+    FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) > 0
+), leaves AS (
+    SELECT mix_domain, mix_lang, mix_source, sum(mix_tokens)::HUGEINT AS tokens FROM rows GROUP BY ALL
+), {", ".join(levels)},
+placed AS (
+    SELECT r.*, g.budget // l.tokens AS epochs, g.budget % l.tokens AS rest,
+           md5('{MIX_SEED}|' || (g.budget // l.tokens) || '|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(text)) AS place
+    FROM rows r JOIN leaves l USING (mix_domain, mix_lang, mix_source) JOIN given_mix_source g USING (mix_domain, mix_lang, mix_source) WHERE g.budget > 0
+), cut AS (
+    SELECT *, coalesce(sum(mix_tokens) OVER (PARTITION BY mix_domain, mix_lang, mix_source ORDER BY substr(place, 1, 15), coalesce(doc_id::VARCHAR, ''), md5(text)
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    FROM placed
+)
+SELECT doc_id, mix_domain, mix_lang, mix_source, mix_tokens::BIGINT AS mix_tokens, epochs::BIGINT AS mix_epochs,
+       least(mix_tokens, greatest(rest - ahead, 0))::BIGINT AS mix_extra
+FROM cut WHERE epochs > 0 OR least(mix_tokens, greatest(rest - ahead, 0)) > 0
+"""
+
+
+@query("op5_mixing", _mix_sql())
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
     return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_tokens", "mix_epochs", "mix_extra")
@@ -112,9 +182,31 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_perspectives")
+_CHAT_SQL = f"""
+WITH t AS (
+    SELECT conv_id, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END, coalesce(text, '')) - 1 AS nth
+    FROM conversations
+), views AS (
+    SELECT t.*, nth // {chat.CHUNK} AS chunk, p.perspective, t.speaker = p.perspective AS own,
+           '<|im_start|>' || CASE WHEN t.speaker = p.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user name=' || t.speaker END || chr(10) AS head,
+           text || '<|im_end|>' || chr(10) AS body
+    FROM t JOIN (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system') p ON p.conv_id IS NOT DISTINCT FROM t.conv_id
+), placed AS (
+    SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY nth) AS stop FROM views
+)
+SELECT conv_id, perspective, chunk::BIGINT AS chunk, count(*)::BIGINT AS n_turns, count(*) FILTER (own)::BIGINT AS n_own,
+       string_agg(head || body, '' ORDER BY nth) AS text,
+       coalesce(string_agg((stop - length(body))::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY nth) FILTER (own), '') AS mask
+FROM placed GROUP BY conv_id, perspective, chunk
+"""
+
+
+@query("op10_perspectives", _CHAT_SQL)
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.perspectives(table(spark, sf_dir, "conversations"))
+    rendered = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rendered.withColumn("mask", F.array_join(spans, ","))
 
 
 @query("op6_pii")

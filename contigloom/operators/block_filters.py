@@ -141,3 +141,9 @@ def block_overlaps(blocks: DataFrame, side: str = "m", percent: float = 95.0) ->
         F.col(begin), F.col(end), F.col(f"next_{begin}"), F.col(f"next_{end}")
     )
     return near.withColumn("overlap_pct", pct).where(F.col("overlap_pct") >= percent)
+
+
+def shares_contig(a: str, b: str, side: str | None = None) -> Column:
+    """Whether the blocks in struct columns ``a`` and ``b`` lie on one contig of ``side`` (m, s; either by default)."""
+    same = {x: F.col(f"{a}.{x}_ctg") == F.col(f"{b}.{x}_ctg") for x in ("m", "s")}
+    return same["m"] | same["s"] if side is None else same[side]

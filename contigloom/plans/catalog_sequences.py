@@ -59,23 +59,26 @@ def subsequence(t: Tables):
 @query(
     "bases_match",
     oracle(
-        """SELECT a.ctg_id, CAST(sum(CASE WHEN substring(a.sequence, i, 1) = substring(b.sequence, i, 1) OR substring(a.sequence, i, 1) = 'A' THEN 1 ELSE 0 END) AS BIGINT)
- AS matches, a.sequence = b.sequence AS same FROM qm a JOIN qs b ON a.ctg_id = b.ctg_id CROSS JOIN (SELECT unnest(range(1, 7001)) AS i) r GROUP BY a.ctg_id, same""",
+        """SELECT a.ctg_id, CAST(coalesce(sum(CASE WHEN i <= b.length AND (substring(a.sequence, i, 1) = substring(b.sequence, i, 1)
+ OR substring(a.sequence, i, 1) = 'A') THEN 1 ELSE 0 END), 0) AS BIGINT) AS matches, coalesce(a.sequence = b.sequence, false) AS same
+ FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM qm) a LEFT JOIN qs b ON a.ctg_id = b.ctg_id GROUP BY a.ctg_id, same""",
         "qm", "qs",
     ),
 )
 def bases_match(t: Tables):
-    """Position-wise matches of equally numbered contigs, an unknown base matching anything."""
-    a = t.sequences("m").select("ctg_id", sq.chop_end(F.col("sequence"), F.lit(6999)).alias("a"), F.col("sequence").alias("whole"))
+    """Position-wise matches of every master contig with the equally numbered slave contig, an unknown base matching anything."""
+    a = t.sequences("m").select("ctg_id", F.col("sequence").alias("a"))
     b = t.sequences("s").select("ctg_id", F.col("sequence").alias("b"))
     masked = F.translate("a", "A", "N")
     letters = F.zip_with(
-        F.split(masked, ""), F.split("b", ""), lambda x, y: F.when(sq.bases_match(x, y), 1).otherwise(0)
+        F.split(masked, ""),
+        F.split(F.coalesce("b", F.lit("")), ""),
+        lambda x, y: F.when((x != "") & (y != "") & sq.bases_match(x, y), 1).otherwise(0),
     )
-    return a.join(b, "ctg_id").select(
+    return a.join(b, "ctg_id", "left").select(
         "ctg_id",
         F.aggregate(letters, F.lit(0), lambda acc, v: acc + v).cast("long").alias("matches"),
-        (F.col("whole") == F.col("b")).alias("same"),
+        F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same"),
     )
 
 

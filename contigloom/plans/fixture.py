@@ -76,8 +76,8 @@ _CTES = {
  CAST(sum(s_last - s_start + 1) AS BIGINT) AS s_block_reads_len,
  CASE WHEN sum(CASE WHEN rn > 1 THEN CASE WHEN concordant THEN 1 ELSE -1 END ELSE 0 END) >= 0
  THEN '+' ELSE '-' END AS s_strand FROM isl2 GROUP BY m_ctg, s_ctg, k""",
-    # blocks with enough reads for the merge steps
-    "b10": "SELECT * FROM blk WHERE num_reads >= 10",
+    # blocks of the merge steps
+    "b10": "SELECT * FROM blk",
     "cm": """SELECT CAST(i AS BIGINT) AS ctg_id, concat('m', CAST(i AS STRING)) AS name, CAST(10000 AS BIGINT) AS length
  FROM (SELECT unnest(range(0, (SELECT max(ctg) + 1 FROM am))) AS i) t""",
     "cs": """SELECT CAST(i AS BIGINT) AS ctg_id, concat('s', CAST(i AS STRING)) AS name, CAST(7000 AS BIGINT) AS length
@@ -166,8 +166,8 @@ class Tables:
 
     @cached_property
     def merge_blocks(self) -> DataFrame:
-        """Blocks with enough reads for the merge steps."""
-        return self.blocks.where("num_reads >= 10")
+        """Blocks of the merge steps: all of them."""
+        return self.blocks
 
     def contigs(self, side: str) -> DataFrame:
         """Contig dictionary: every id up to the largest with an alignment."""

@@ -27,14 +27,17 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names one (tests on one
-    machine) a temporary folder is set.
+    Where neither the session nor the context names one, a temporary folder is
+    set on a single machine; on a cluster it is an error, since executors do not
+    share such a folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
             "spark.checkpoint.dir"
         )
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="contigloom-ckpt-"))
     return sc.getCheckpointDir()
 

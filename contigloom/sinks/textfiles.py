@@ -71,12 +71,9 @@ def library_stats_lines(stats: DataFrame, six_digits: bool = False) -> DataFrame
 
 
 def _six_digits(x: Column) -> Column:
-    """Six significant digits without trailing zeros, for magnitudes of 1e-4 to 1e6."""
-    whole = F.greatest(F.floor(F.log10(F.abs(x))) + 1, F.lit(-4))
-    places = F.when(x == 0, 0).otherwise(F.greatest(6 - whole, F.lit(0))).cast("int")
-    scale = F.pow(F.lit(10.0), places)
-    text = F.format_string("%.10f", F.round(x * scale) / scale)
-    return F.regexp_replace(text, r"\.?0+$", "")
+    """Six significant digits without trailing zeros, with an exponent below 1e-4 and from 1e6 on."""
+    text = F.format_string("%.6g", x.cast("double"))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
 
 
 def write_library_stats(stats: DataFrame, path: str, six_digits: bool = False) -> None:

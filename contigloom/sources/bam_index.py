@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contigloom.functions.intervals import minimum_bin
-from contigloom.sources.bam import INDEX_MAGIC, LINEAR_BITS
+from contigloom.sources.bam import INDEX_MAGIC, LINEAR_BITS, open_output
 
 
 def bin_index(records: DataFrame) -> DataFrame:
@@ -42,21 +43,41 @@ def unsorted_records(records: DataFrame) -> DataFrame:
     return seen.where("place < before").groupBy("path").agg(F.count("*").alias("n"))
 
 
-def write_bai(linear: DataFrame, path: str, references: int) -> None:
-    """Write the linear index of one file as ``path.bai``.
+def write_bai(linear: DataFrame, references: DataFrame) -> DataFrame:
+    """Write the linear index of every file next to it, as ``<path>.bai``; (path, windows) of each.
 
-    The table has one row per 16 kb of genome, at most a few hundred thousand.
+    ``references`` is (path, n).  A file's windows come sorted to one task, which
+    writes them as they come, to the file system that holds the file.
     """
-    rows = linear.where(F.col("path") == path).limit(4_000_001).collect()
-    if len(rows) > 4_000_000:
-        raise ValueError("the index of this file is too large to be written by the driver")
-    per_ref: dict[int, dict[int, int]] = {}
-    for r in rows:
-        per_ref.setdefault(r.ref_id, {})[r.window] = r.first
-    with open(path + ".bai", "wb") as out:
-        out.write(INDEX_MAGIC + struct.pack("<i", references))
-        for ref in range(references):
-            windows = per_ref.get(ref, {})
-            n = max(windows, default=-1) + 1
-            out.write(struct.pack("<ii", 0, n))
-            out.write(struct.pack(f"<{n}Q", *[windows.get(w, 0) for w in range(n)]))
+    counts = linear.groupBy("path", "ref_id").agg((F.max("window") + 1).alias("windows"))
+    heads = counts.select("path", "ref_id", F.lit(-1).cast("long").alias("window"), F.col("windows").cast("long").alias("first"))
+    rows = linear.select("path", "ref_id", F.col("window").cast("long").alias("window"), F.col("first").cast("long").alias("first")).unionByName(heads)
+    whole = references.select("path", F.lit(-1).alias("ref_id"), F.lit(-1).cast("long").alias("window"), F.col("n").cast("long").alias("first"))
+    ordered = rows.unionByName(whole).repartition("path").sortWithinPartitions("path", "ref_id", "window")
+    return ordered.mapInArrow(_written, "path string, windows long")
+
+
+def _written(batches):
+    out, path, left, expected, total, next_window = None, None, 0, 0, 0, 0
+
+    def close():
+        out.write(struct.pack("<ii", 0, 0) * left)
+        out.close()
+        return pa.RecordBatch.from_pylist([{"path": path, "windows": total}])
+
+    for batch in batches:
+        for own, ref, window, first in zip(*(batch.column(c).to_pylist() for c in ("path", "ref_id", "window", "first"))):
+            if own != path:
+                if out is not None:
+                    yield close()
+                out, path, left, expected, total = open_output(own + ".bai"), own, first, 0, 0
+                out.write(INDEX_MAGIC + struct.pack("<i", first))
+            elif window < 0:  # a reference begins: those without records before it are empty
+                out.write(struct.pack("<ii", 0, 0) * (ref - expected) + struct.pack("<ii", 0, first))
+                left -= ref - expected + 1
+                expected, next_window = ref + 1, 0
+            else:
+                out.write(struct.pack("<Q", 0) * (window - next_window) + struct.pack("<Q", first))
+                next_window, total = window + 1, total + 1
+    if out is not None:
+        yield close()

@@ -71,7 +71,7 @@ def main(sf: str, names: list[str]) -> int:
     from contigloom.session import local_session
 
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session("8")
+    spark = local_session(os.environ.get("ORACLE_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     q, o = e.queries(), e.oracle_sql()

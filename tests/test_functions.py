@@ -135,14 +135,59 @@ def test_bam_round_trip_index_and_tags(spark, tmp_path):
     file = back.first().path
     text, refs, _ = bam.read_header(file)
     assert text.startswith("@HD") and refs == [("a", 300000), ("b", 300000), ("c", 300000)]
-    bam_index.write_bai(bam_index.linear_index(back), file, 3)
+    sizes = spark.createDataFrame([(file, 4)], "path string, n int")  # the last reference has no records
+    assert [tuple(r) for r in bam_index.write_bai(bam_index.linear_index(back), sizes).collect()] == [(file, 39)]
+    offsets = bam.index_offsets(file)
+    assert [len(o) for o in offsets] == [13, 13, 13, 0] and all(v for o in offsets for v in o)
     split = spark.read.format("bam").option("splitBytes", "1").load(path)
     assert split.count() == 300 and split.select("name").distinct().count() == 300
     assert {r.ref_id for r in spark.read.format("bam").option("ref", "1").load(path).collect()} == {1}
+    region = spark.read.format("bam").option("ref", 2).option("begin", 70_000).option("end", 140_000).load(path)
+    assert sorted(r.pos for r in region.collect()) == [r[3] for r in rows if r[2] == 2 and r[3] < 140_000 and r[3] + 15 > 70_000]
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     assert spark.read.format("bam").option("pushdown", "true").load(path).where("ref_id = 2").count() == 100
 
 
+def test_bam_region_without_index(spark, tmp_path):
+    bam.register(spark)
+    rows = [(f"r{i}", 0, i % 3, i * 10, "10M", -1, -1) for i in range(60)] + [("u", 4, -1, -1, "", -1, -1)]
+    df = spark.createDataFrame(rows, "name string, flag int, ref_id int, pos int, cigar string, mate_ref_id int, mate_pos int")
+    df.coalesce(1).write.format("bam").mode("append").option("references", "a:1000,b:1000,c:1000").save(str(tmp_path / "x"))
+    load = lambda **o: {r.name for r in spark.read.format("bam").options(**o).load(str(tmp_path / "x")).collect()}
+    assert load(ref=2) == {r[0] for r in rows if r[2] == 2}
+    assert load(ref=1, begin=105, end=311) == {r[0] for r in rows if r[2] == 1 and r[3] < 311 and r[3] + 10 > 105}
+    assert load(ref=7) == set()
+    with pytest.raises(Exception, match="needs the option ref"):
+        load(begin=5)
+
+
+def test_bam_writes_do_not_meet(spark, tmp_path):
+    bam.register(spark)
+    path = str(tmp_path / "w")
+
+    def write(lo, hi, mode):
+        df = spark.range(lo, hi, 1, 3).selectExpr("concat('r', id) AS name", "0 AS flag", "0 AS ref_id", "CAST(id AS INT) AS pos", "'5M' AS cigar", "-1 AS mate_ref_id", "-1 AS mate_pos")
+        df.write.format("bam").mode(mode).option("references", "a:100000").save(path)
+
+    names = lambda: sorted(r.pos for r in spark.read.format("bam").load(path).collect())
+    write(0, 100, "append")
+    write(100, 200, "append")
+    assert names() == list(range(200))
+    write(500, 510, "overwrite")
+    assert names() == list(range(500, 510))
+    with pytest.raises(Exception):  # a failing write leaves what was there, and nothing of its own
+        bad = spark.range(0, 50, 1, 2).selectExpr("if(id = 49, CAST(NULL AS STRING), 'x') AS name", "0 AS flag", "0 AS ref_id", "0 AS pos", "'5M' AS cigar", "-1 AS mate_ref_id", "-1 AS mate_pos")
+        bad.write.format("bam").mode("overwrite").option("references", "a:100000").save(path)
+    assert names() == list(range(500, 510))
+    assert not [p for p in os.listdir(path) if not p.endswith(".bam")]
+
+
+def test_six_significant_digits(spark):
+    values = [0.0, 1.0, 333.333333333, 29.1356, 123456.7, 1234567.0, 0.000123456789, 0.0000123456, -2.5e-9, 1e12, 999999.6]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(sink._six_digits(F.col("v")).alias("s"))
+    assert [r.s for r in df.collect()] == ["%g" % v for v in values]
+
+
 def test_text_inputs(spark, tmp_path):
     (tmp_path / "libs").write_text("  /a.bam \n90 270\n/b.bam\n\n")
     libs = textfiles.read_library_list(spark, str(tmp_path / "libs"))

@@ -7,9 +7,8 @@ tile, and the detail rows only need a window inside their own tile.  Callers
 collapse their rows to one per coordinate first, so a tile never holds more
 than ``2 ** bits`` rows, however many reads pile up on it.
 
-The input is read more than once, so it is checkpointed; its row count is then
-cheap, and an input of at most ``PLAIN_ROWS`` rows takes the plain window, which
-gives the same rows with one shuffle.
+There is one way for every size.  The input is read more than once, so it is
+checkpointed.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from contigloom.session import cut_lineage
 
 TILE_BITS = 16
-PLAIN_ROWS = 2_000_000
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -33,38 +31,23 @@ def _merge(kind: str, carried: Column, local: Column) -> Column:
     return (F.greatest if kind == "max" else F.least)(carried, local)  # both skip NULL
 
 
-def materialise(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Checkpointed input and whether it is small enough for a plain window."""
-    df = cut_lineage(df)
-    return df, df.count() <= PLAIN_ROWS
-
-
 def exclusive_prefix(
     df: DataFrame,
     keys: Sequence[str],
     pos: str,
     values: dict[str, tuple[str, str]],
-    bits: int = TILE_BITS,
-    small: bool | None = None,
+    bits: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add ``out = kind(col)`` over the rows of the same key with a smaller ``pos``.
 
     ``values`` maps an output name to ``(kind, column)``, kind in sum/max/min.
-    ``df`` must hold one row per ``(keys, pos)``.  ``small`` skips the check for
-    an input the caller has already materialised.
+    ``df`` must hold one row per ``(keys, pos)``.  ``stored``: the caller has
+    already materialised it.
     """
-    keys = list(keys)
-    if small is None:
-        df, small = materialise(df)
-    if small:
-        upto = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            "*",
-            *[
-                (F.coalesce(_AGG[k](c).over(upto), F.lit(0)) if k == "sum" else _AGG[k](c).over(upto)).alias(o)
-                for o, (k, c) in values.items()
-            ],
-        )
+    keys, bits = list(keys), TILE_BITS if bits is None else bits
+    if not stored:
+        df = cut_lineage(df)
     tiled = df.withColumn("_tile", F.shiftright(F.col(pos), bits))
     per_tile = tiled.groupBy(*keys, "_tile").agg(
         *[_AGG[kind](col).alias(f"_t_{out}") for out, (kind, col) in values.items()]
@@ -87,7 +70,7 @@ def exclusive_prefix(
 
 
 def island_starts(
-    df: DataFrame, keys: Sequence[str], start: str, reach: str, out: str, bits: int = TILE_BITS
+    df: DataFrame, keys: Sequence[str], start: str, reach: str, out: str, bits: int | None = None
 ) -> DataFrame:
     """Gaps and islands: label each row with the first coordinate of its island.
 
@@ -95,13 +78,13 @@ def island_starts(
     before it, so touching neighbours stay together.  One row per
     ``(keys, start)``, ``reach`` being the last covered coordinate.
     """
-    df, small = materialise(df)
-    seen = exclusive_prefix(df, keys, start, {"_reach": ("max", reach)}, bits, small)
+    df = cut_lineage(df)
+    seen = exclusive_prefix(df, keys, start, {"_reach": ("max", reach)}, bits, stored=True)
     opened = seen.withColumn(
         "_open",
         F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + 1), F.col(start)),
     )
-    labelled = exclusive_prefix(opened, keys, start, {"_last": ("max", "_open")}, bits, True if small else None)
+    labelled = exclusive_prefix(opened, keys, start, {"_last": ("max", "_open")}, bits)
     return labelled.select(*df.columns, F.coalesce("_open", "_last").alias(out))
 
 
@@ -111,7 +94,7 @@ def ordered_neighbours(
     pos: str,
     order: Sequence[Column],
     payload: Sequence[str],
-    bits: int = TILE_BITS,
+    bits: int | None = None,
 ) -> DataFrame:
     """Add ``next_<c>`` / ``prev_<c>`` for every payload column, in key order.
 
@@ -120,15 +103,8 @@ def ordered_neighbours(
     """
     keys = list(keys)
     body = F.struct(*payload)
-    df, small = materialise(df)
-    if small:
-        along = Window.partitionBy(*keys).orderBy(*order)
-        both = df.withColumn("_n", F.lead(body).over(along)).withColumn("_p", F.lag(body).over(along))
-        return both.select(
-            *df.columns,
-            *[F.col(f"_n.{c}").alias(f"next_{c}") for c in payload],
-            *[F.col(f"_p.{c}").alias(f"prev_{c}") for c in payload],
-        )
+    bits = TILE_BITS if bits is None else bits
+    df = cut_lineage(df)
     tiled = df.withColumn("_tile", F.shiftright(F.col(pos), bits))
     inside = Window.partitionBy(*keys, "_tile").orderBy(*order)
     local = tiled.withColumn("_n", F.lead(body).over(inside)).withColumn("_p", F.lag(body).over(inside))
@@ -157,16 +133,14 @@ def ordered_neighbours(
 
 
 def number_rows(
-    df: DataFrame, key: str, pos: str, order: Sequence[Column], out: str, bits: int = TILE_BITS
+    df: DataFrame, key: str, pos: str, order: Sequence[Column], out: str, bits: int | None = None
 ) -> DataFrame:
     """Dense 0-based numbers in (key, pos, order) sequence without a global sort.
 
     Counts per key and per tile give the offsets; rows are ranked in their tile.
     """
-    df, small = materialise(df)
-    if small:
-        whole = Window.partitionBy(F.lit(0)).orderBy(key, *order)
-        return df.withColumn(out, (F.row_number().over(whole) - 1).cast("long"))
+    bits = TILE_BITS if bits is None else bits
+    df = cut_lineage(df)
     tiled = df.withColumn("_tile", F.shiftright(F.col(pos), bits))
     per_tile = tiled.groupBy(key, "_tile").agg(F.count("*").alias("_n"))
     per_key = per_tile.groupBy(key).agg(F.sum("_n").alias("_kn")).withColumn("_all", F.lit(0))

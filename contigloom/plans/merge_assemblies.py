@@ -12,6 +12,7 @@ from contigloom.operators import alignment as al
 from contigloom.operators import assembly_graph as ag
 from contigloom.operators import block_filters as bf
 from contigloom.operators import contig_sets as cs
+from contigloom.operators import coverage
 from contigloom.operators import edges as ev
 from contigloom.operators import forks as fk
 from contigloom.operators import merge as mg
@@ -62,6 +63,14 @@ def filter_blocks(
     return bf.min_coverage_filter(kept, single, min(glob_cov_master, glob_cov_slave) / 2)
 
 
+def filter_by_libraries(
+    blocks: DataFrame, min_reads: int, coverage_ratio: float, master_stats: DataFrame, slave_stats: DataFrame
+) -> DataFrame:
+    """``filter_blocks`` with the coverage of both sides summed over their libraries (a column coverage)."""
+    both = [coverage.global_coverage(s).first().glob_coverage or 0.0 for s in (master_stats, slave_stats)]
+    return filter_blocks(blocks, min_reads, coverage_ratio, *both)
+
+
 def build_graph(blocks: DataFrame) -> Graph:
     """Components, strands, ordering edges and chains, without edge weights."""
     blocks = cut_lineage(blocks)
@@ -114,6 +123,8 @@ class Merged:
     used_slave: DataFrame
     unmerged_slave: DataFrame
     classes: DataFrame
+    no_blocks_slave: DataFrame  # slave contigs without blocks before the filters
+    lost_blocks_slave: DataFrame  # and those that lost theirs to the filters
 
 
 def resolve(graph: Graph, weighted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -165,7 +176,7 @@ def merge(blocks_before: DataFrame, blocks: DataFrame, master: Assembly, slave:
     lost = cs.contigs_losing_blocks(slave.dictionary, blocks_before, blocks, "s")
     return Merged(
         segments, ordered, extents, used_m, used_s,
-        cs.unused_contigs(slave.dictionary, used_s, no_blocks, lost), classes,
+        cs.unused_contigs(slave.dictionary, used_s, no_blocks, lost), classes, no_blocks, lost,
     )
 
 
@@ -174,7 +185,7 @@ def merged_pieces(result: Merged, master: Assembly, slave: Assembly) -> DataFram
 
 
 def write(result: Merged, master: Assembly, slave: Assembly, prefix: str) -> None:
-    """Merged contigs, their descriptor, slave contigs left over, and the graph census."""
+    """Merged contigs, their descriptor, slave contigs without blocks (before and after the filters) and left over, and the graph census."""
     from contigloom.sinks import textfiles as sink
 
     lines = mg.fasta_of_segments(merged_pieces(result, master, slave))
@@ -186,7 +197,7 @@ def write(result: Merged, master: Assembly, slave: Assembly, prefix: str) -> Non
     last = merged_rows.agg(F.max("pctg")).first()[0]
     rows = mg.descriptor(result.segments, master.dictionary, slave.dictionary)
     sink.write_descriptor(rows, f"{prefix}.pctgs", -1 if last is None else last + 1)
-    left = slave.contigs.join(result.unmerged_slave.select("ctg_id"), "ctg_id", "left_semi")
-    sink.write_contigs(left, f"{prefix}.notmerged.fasta")
+    for name, some in (("noblocks.BF", result.no_blocks_slave), ("noblocks.AF", result.lost_blocks_slave), ("notmerged", result.unmerged_slave)):
+        sink.write_contigs(slave.contigs.join(some.select("ctg_id"), "ctg_id", "left_semi"), f"{prefix}.{name}.fasta")
     census = sink.stats_lines(ag.class_census(result.classes))
     census.coalesce(1).sortWithinPartitions("ord").select("value").write.mode("overwrite").text(f"{prefix}.stats")

@@ -27,21 +27,25 @@ def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
-def test_create_and_merge(spark, tmp_path):
+def test_create_and_merge_from_files(spark, tmp_path):
+    from contigloom.plans import from_files
+    from contigloom.plans.catalog_files import _write
+
     t = Tables(spark, SF)
-    libs = t.libraries().withColumn("path", F.concat(F.lit("lib"), F.col("lib_id").cast("string")))
-    made = create_blocks.create_blocks(t.master, t.slave, libs, libs, t.contigs("m"), t.contigs("s"), 10)
-    create_blocks.write(made, str(tmp_path / "x"))
-    blocks = cut_lineage(textfiles.read_blocks(spark, str(tmp_path / "x.blocks"), 5))
+    for side, aln in (("m", t.master), ("s", t.slave)):
+        for lib in (0, 1):
+            _write(t, aln.where(F.col("lib_id") == lib), side, str(tmp_path / f"{side}{lib}"))
+        (tmp_path / f"{side}.list").write_text("".join(f"{tmp_path / f'{side}{lib}'}\n90 500\n" for lib in (0, 1)))
+        sink.write_contigs(t.sequences(side), str(tmp_path / f"{side}.fasta"))
+    from_files.create(spark, str(tmp_path / "m.list"), str(tmp_path / "s.list"), str(tmp_path / "x"), 10)
+    blocks = textfiles.read_blocks(spark, str(tmp_path / "x.blocks"), 5)
     assert blocks.count() == 25
-    stats = textfiles.read_library_stats(spark, str(tmp_path / "x.master.isize"), libs)
-    assert stats.count() == 2
-
-    m = ma.Assembly(t.master, cut_lineage(t.sequences("m")), cut_lineage(stats))
-    s = ma.Assembly(t.slave, cut_lineage(t.sequences("s")), cut_lineage(textfiles.read_library_stats(spark, str(tmp_path / "x.slave.isize"), libs)))
-    kept = ma.filter_blocks(blocks, 5, 0.75, 8.0, 8.0)
-    result = ma.merge(blocks, kept, m, s)
-    ma.write(result, m, s, str(tmp_path / "y"))
+    m, s = (from_files.assembly(spark, str(tmp_path / f"{x}.list"), str(tmp_path / f"x.{name}.isize"), str(tmp_path / f"{x}.fasta")) for x, name in (("m", "master"), ("s", "slave")))
+    assert m.stats.count() == 2
+    from_files.merge(str(tmp_path / "x.blocks"), m, s, str(tmp_path / "y"), 5)
+    without = {r.s_ctg for r in t.slave.selectExpr("ctg AS s_ctg").distinct().collect()} - {r.s_ctg for r in blocks.collect()}
+    names = lambda f: {r.name for r in textfiles.read_fasta(spark, str(tmp_path / f)).collect()}
+    assert names("y.noblocks.BF.fasta") == {f"s{i}" for i in without}
     # the merged contigs spell the genome: every one is a stretch of the master contigs in order
     whole = "".join(r.sequence for r in m.contigs.orderBy("ctg_id").collect())
     merged = textfiles.read_fasta(spark, str(tmp_path / "y.fasta")).collect()

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contigloom.operators import assembly_graph as ag
 from contigloom.operators import block_filters as bf
 from contigloom.operators import blocks as bl
 from contigloom.operators import ordering, reads, regions
 from contigloom.plans.catalog_blocks import _BLOCK_SQL, _block_cols
+from contigloom.plans.catalog_graph import _COMP, _VERTEX
 from contigloom.plans.catalog_io import _SEQ
 from contigloom.plans.fixture import M_LEN, S_LEN, Tables, oracle
 from contigloom.plans.registry import long, query
@@ -115,14 +117,15 @@ def jump_scan(t: Tables):
     "block_overlap_report",
     oracle(
         """SELECT CAST(m_ctg AS BIGINT) AS m_ctg, CAST(m_begin AS BIGINT) AS m_begin, CAST(m_end AS BIGINT) AS m_end, CAST(nb AS BIGINT) AS next_begin, CAST(ne AS BIGINT) AS next_end
- FROM (SELECT *, lead(m_begin) OVER w AS nb, lead(m_end) OVER w AS ne FROM blk WINDOW w AS (PARTITION BY m_ctg ORDER BY m_begin, m_end DESC, s_ctg, s_begin)) x
+ FROM (SELECT *, lead(m_begin) OVER w AS nb, lead(m_end) OVER w AS ne FROM (SELECT * REPLACE (m_end + 300 AS m_end) FROM blk) y
+ WINDOW w AS (PARTITION BY m_ctg ORDER BY m_begin, m_end DESC, s_ctg, s_begin)) x
  WHERE 100.0 * greatest(least(m_end, ne) - greatest(m_begin, nb) + 1, 0) / (ne - nb + 1) >= 0.1""",
         "blk",
     ),
 )
 def block_overlap_report(t: Tables):
-    """Neighbouring blocks on the master of which the later is covered by at least a thousandth."""
-    near = bf.block_overlaps(t.blocks, "m", 0.1)
+    """Neighbouring blocks, drawn out by 300 bases, of which the later is covered by at least a thousandth."""
+    near = bf.block_overlaps(t.blocks.withColumn("m_end", F.col("m_end") + 300), "m", 0.1)
     return near.select(
         *[long(c).alias(c) for c in ("m_ctg", "m_begin", "m_end")], long("next_m_begin").alias("next_begin"), long("next_m_end").alias("next_end")
     )
@@ -176,3 +179,21 @@ def sorted_region_fetch(t: Tables):
     got = ordering.sorted_region(t.alignments("m"), 2, 5000, 6000)
     rank = F.row_number().over(Window.partitionBy("ctg").orderBy("pos", "name", "mate"))  # a stretch of 1000 bases
     return got.select(long(rank).alias("n"), "name", long("mate").alias("mate"), long("pos").alias("pos"))
+
+
+@query(
+    "contig_dot",
+    oracle(
+        f"""SELECT CAST(component AS BIGINT) AS component, CAST(ord AS BIGINT) AS ord, value FROM (
+ SELECT DISTINCT component, 0 AS ord, concat('graph ContigGraph_', component, ' {{') AS value FROM comp UNION ALL
+ SELECT component, 1, concat(chr(9), asm, ctg, '[label="', ctg, '"];') FROM (SELECT {_VERTEX}, component FROM comp) v UNION ALL
+ SELECT c.component, 2, concat(chr(9), 'm', CAST(u / 2 AS BIGINT), '--s', CAST((v - 1) / 2 AS BIGINT), '[color=black];') FROM lk JOIN comp c ON c.vertex = lk.u UNION ALL
+ SELECT DISTINCT component, 3, '}}' FROM comp) x""",
+        "b10", extra=_COMP, recursive=True,
+    ),
+)
+def contig_dot(t: Tables):
+    """Lines of the contig graphs."""
+    pairs = cut_lineage(ag.contig_pairs(t.merge_blocks))
+    dot = sink.contig_dot(cut_lineage(ag.contig_components(pairs)), pairs)
+    return dot.select(long("component").alias("component"), long("ord").alias("ord"), "value")

@@ -199,5 +199,4 @@ def write(result: Merged, master: Assembly, slave: Assembly, prefix: str) -> Non
     sink.write_descriptor(rows, f"{prefix}.pctgs", -1 if last is None else last + 1)
     for name, some in (("noblocks.BF", result.no_blocks_slave), ("noblocks.AF", result.lost_blocks_slave), ("notmerged", result.unmerged_slave)):
         sink.write_contigs(slave.contigs.join(some.select("ctg_id"), "ctg_id", "left_semi"), f"{prefix}.{name}.fasta")
-    census = sink.stats_lines(ag.class_census(result.classes))
-    census.coalesce(1).sortWithinPartitions("ord").select("value").write.mode("overwrite").text(f"{prefix}.stats")
+    sink.write_stats(ag.class_census(result.classes), f"{prefix}.stats")

@@ -12,6 +12,7 @@ BLOCKS_HEADER = (
 )
 DESCRIPTOR_HEADER = "#Name\tSize\tAssembly\tContigID\tBegin\tEnd\tReversed"
 DESCRIPTOR_RULE = "# ----------------------------------------------------"
+STATS_TITLE = "[graphs stats]"
 STATS_LABELS = {"linear": "Linears", "forks": "Forks", "bubbles": "Bubbles", "cyclic": "Cyclics"}
 
 
@@ -133,17 +134,26 @@ def stats_lines(census: DataFrame) -> DataFrame:
     )
 
 
+def write_stats(census: DataFrame, path: str) -> None:
+    """Title and the four counts, in order."""
+    lines = stats_lines(census).coalesce(1).sortWithinPartitions("ord")
+    _with_header(lines, STATS_TITLE).write.mode("overwrite").text(path)
+
+
 _COLORS = {"MASTER": "black", "SLAVE": "red", "BOTH": "green"}
 
 
 def _dot(kind: str, nodes: DataFrame, edges: DataFrame, graph_key: str) -> DataFrame:
-    """(graph_key, ord, value): opening line, nodes, edges, closing line of each graph."""
+    """(graph_key, ord, value): opening line, nodes, edges, closing line of each graph.
+
+    The opening line names the graph by its key.
+    """
     graphs = nodes.select(graph_key).distinct()
     frame = graphs.select(
         graph_key,
         F.explode(
             F.array(
-                F.struct(F.lit(0).alias("ord"), F.lit(kind + " {").alias("value")),
+                F.struct(F.lit(0).alias("ord"), F.concat(F.lit(kind + "_"), F.col(graph_key).cast("string"), F.lit(" {")).alias("value")),
                 F.struct(F.lit(3).alias("ord"), F.lit("}").alias("value")),
             )
         ).alias("f"),
@@ -228,6 +238,5 @@ def _edge_lines(edges: DataFrame, component: DataFrame, reads: str | None = None
 
 
 def write_dot(dot: DataFrame, graph_key: str, path: str) -> None:
-    """One folder per graph, lines in order within each."""
-    ordered = dot.repartitionByRange(graph_key, "ord").sortWithinPartitions(graph_key, "ord")
-    ordered.select(graph_key, "value").write.mode("overwrite").partitionBy(graph_key).text(path)
+    """All graphs as one text over many parts, in the order of their keys: a range sort, no folder or writer per graph."""
+    dot.orderBy(graph_key, "ord", "value").select("value").write.mode("overwrite").text(path)

@@ -213,6 +213,18 @@ def test_fasta_and_stats_outputs(spark, tmp_path):
     assert sink.library_stats_lines(row, six_digits=True).first().value == "p\n333.333\t29.1356\t8"
 
 
+def test_graph_files(spark, tmp_path):
+    census = spark.createDataFrame([("forks", 2)], "graph_class string, graphs long")
+    sink.write_stats(census, str(tmp_path / "st"))
+    read = lambda p: "".join(f.read_text() for f in sorted((tmp_path / p).glob("part-*")))
+    assert read("st") == "[graphs stats]\nLinears = 0\nForks = 2\nBubbles = 0\nCyclics = 0\n"
+    comps = spark.createDataFrame([("m", 0, 0), ("s", 1, 0), ("m", 4, 4), ("s", 2, 4)], "asm string, ctg long, component long")
+    pairs = spark.createDataFrame([(0, 1), (4, 2)], "m_ctg long, s_ctg long")
+    sink.write_dot(sink.contig_dot(comps, pairs), "component", str(tmp_path / "dot"))
+    one = 'graph ContigGraph_{0} {{\n\tm{0}[label="{0}"];\n\ts{1}[label="{1}"];\n\tm{0}--s{1}[color=black];\n}}\n'
+    assert read("dot") == one.format(0, 1) + one.format(4, 2)
+
+
 def test_header_issues(spark):
     text = ["@HD\tVN:1.x", "@SQ\tSN:=chr\tLN:10", "@SQ\tSN:a\tLN:0", "@SQ\tSN:a\tLN:5", "@PG\tID:p\tPP:q", "@RG\tID:g\tPL:Illumina"]
     df = spark.createDataFrame(list(enumerate(text)), "line_no long, line string")

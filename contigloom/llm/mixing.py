@@ -15,7 +15,7 @@ token for each node unspent.
 A leaf's budget is taken from seeded epochs: whole ones first, then the prefix
 of one more, in the order of a hash of seed, epoch and id.  The last document is
 cut, so a leaf's tokens are exact.  Prefixes are found by sums over hash ranges,
-then inside the one range that the budget ends in; no leaf is sorted as a whole.
+then inside a range; no leaf is sorted as a whole.
 
 Weights of nodes that are not listed are ``other`` (0 leaves them out).  Null
 domain, language or source is the node ``unknown``; null and empty texts have no
@@ -29,9 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contigloom.llm.shared import stored
+
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
 #: Ranges of the order hash, as leading bits.
 RANGE_BITS = 12
+#: Leaves that are broadcast to the documents; more are joined by a shuffle.
+MOST_LEAVES = 100_000
 _WHOLE = "decimal(38,0)"
 
 
@@ -111,7 +115,13 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float,
     # the order of the epoch that is not whole; documents of one id are told apart by their text
     document = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("text").cast("binary"))]
     place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "mix_epochs", *document).cast("binary")), 1, 15), 16, 10).cast("long")
-    placed = rows.join(given, list(LEVELS)).withColumn("mix_place", place).withColumn("mix_range", F.shiftright("mix_place", 60 - RANGE_BITS))
+    # a shuffle by leaf would do for what follows as well, and keep a hot leaf in one task: documents are dealt by leaf and range
+    given = stored(given, "leaves")
+    few = given.count() <= MOST_LEAVES
+    placed = rows.join(F.broadcast(given) if few else given, list(LEVELS))
+    placed = placed.withColumn("mix_place", place).withColumn("mix_range", F.shiftright("mix_place", 60 - RANGE_BITS))
+    if not few:
+        placed = placed.repartition(*LEVELS, "mix_range")
     ranges = placed.groupBy(*LEVELS, "mix_range").agg(F.sum("mix_tokens").alias("mix_sum"))
     lower = Window.partitionBy(*LEVELS).orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(*LEVELS, "mix_range", F.coalesce(F.sum("mix_sum").over(lower), F.lit(0)).alias("mix_before"))

@@ -71,6 +71,13 @@ def test_each_leaf_gets_its_budget_exactly(spark, odd_docs):
     assert max(cut.values()) <= 1
 
 
+def test_many_leaves_take_the_other_join(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {(r.doc_id, r.mix_epochs, r.mix_extra) for r in mixing.mix(docs, {}, 0.6, 2).collect()}
+    monkeypatch.setattr(mixing, "MOST_LEAVES", 0)
+    assert one == {(r.doc_id, r.mix_epochs, r.mix_extra) for r in mixing.mix(docs, {}, 0.6, 2).collect()}
+
+
 def test_seed_changes_the_order_only(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one, two, again = ({(r.doc_id, r.mix_extra) for r in mixing.mix(docs, {}, 0.3, 1, seed=s).collect()} for s in (1, 2, 1))

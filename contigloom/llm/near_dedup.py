@@ -177,7 +177,8 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, s
     A leader's set is sent once for each STAR of its members, so a leader of
     many members is spread over tasks.
     """
-    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("fans"))
+    # stored, as are the other counts here that are joined back: a join of two own exchanges is one whose hot keys Spark can split
+    fans = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("fans")), "fans")
     members = pairs.join(fans, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("salt"), F.lit(1).alias("role"), "b"
     )
@@ -249,13 +250,14 @@ def _rest(docs: DataFrame, buckets: DataFrame, components: DataFrame, classes: D
     labelled = buckets.join(components, buckets.id == components.vertex, "left").select(
         "key", "id", "n", F.coalesce("component", "id").alias("component")
     )
-    mixed = (
+    mixed = stored(
         labelled.groupBy("key")
         .agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo <> hi AND size >= 3")
-        .select("key", F.ceil(F.col("shingles") / F.lit(BLOCK)).cast("int").alias("blocks"))
+        .select("key", F.ceil(F.col("shingles") / F.lit(BLOCK)).cast("int").alias("blocks")),
+        "mixed",
     )
-    members = stored(labelled.join(mixed, "key"), "mixed")
+    members = stored(labelled.join(mixed, "key"), "members")
     rows = (
         members.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -280,7 +282,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         "classes",
     )
     keyed = classes.mapInArrow(_keys, "key long, id long, n long")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.min(F.struct("id", "n")).getField("n").alias("leader_n"), F.count("*").alias("size")).where("size > 1")
+    shared = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    shared = stored(shared.select("key", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n")), "shared")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     allowed = 100 * F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")
     stars = cut_lineage(buckets.where((F.col("id") != F.col("leader")) & allowed).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())

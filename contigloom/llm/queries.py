@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contigloom.llm import chat, decontaminate, lengths, licenses, mixing, near_dedup, pii, ppm, quality, topk
-from contigloom.llm.shared import crc_part, table
+from contigloom.llm.shared import crc_part, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +60,44 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.ppm_scores(table(spark, sf_dir, "documents"), crc_part(F.col("doc_id"), 7) == 2)
 
 
-@query("op2_license_scan")
+def _license_sql() -> str:
+    """Diagonal voting in DuckDB; a document's id stands for its row."""
+    rows = [(text, label, True) for text, label in licenses.PHRASES.items()] + [(text, label, False) for text, label in licenses.NOTICES.items()]
+    values = ", ".join(f"({i}, $${t}$$, '{label}', {phrase})" for i, (t, label, phrase) in enumerate(rows))
+    words = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, {words.format(_LOWER)} AS ws FROM documents
+), t AS (
+    SELECT *, len(ws) AS size FROM (SELECT template, label, phrase, CASE WHEN phrase THEN 2 ELSE 4 END AS k, {words.format("lower(text)")} AS ws
+    FROM (VALUES {values}) v(template, text, label, phrase)) x WHERE len(ws) >= k
+), tg AS (
+    SELECT template, k, place, array_to_string(ws[place + 1:place + k], ' ') AS gram FROM (SELECT *, unnest(range(0, size - k + 1)) AS place FROM t) x
+), dg AS (
+    SELECT doc_id, k, spot, array_to_string(ws[spot + 1:spot + k], ' ') AS gram
+    FROM (SELECT doc_id, ws, k, unnest(range(0, greatest(len(ws) - k + 1, 0))) AS spot FROM d CROSS JOIN (VALUES (2), (4)) v(k)) x
+), votes AS (
+    SELECT doc_id, t.*, spot, place, spot - place AS diagonal FROM dg JOIN tg USING (k, gram) JOIN t ON t.template = tg.template
+), opened AS (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= {licenses.GAP} THEN 0 ELSE 1 END AS opens
+    FROM votes WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal, spot)
+), units AS (
+    SELECT *, CASE WHEN phrase THEN diagonal ELSE sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal, spot) END AS unit FROM opened
+), covered AS (
+    SELECT doc_id, template, label, phrase, size, k, unit, count(DISTINCT word) AS words, min(spot) AS lo, max(spot) + k AS stop
+    FROM (SELECT *, unnest(range(place, place + k)) AS word FROM units) x GROUP BY doc_id, template, label, phrase, size, k, unit
+), found AS (
+    SELECT *, words / size AS cover FROM covered
+    WHERE CASE WHEN phrase THEN words = size ELSE words >= 0.75 * size AND stop - lo <= 2 * size END
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, count(label) FILTER (phrase)::BIGINT AS n_base,
+       min(lo) FILTER (phrase)::BIGINT AS first_word, max(lo) FILTER (phrase)::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(cover), 0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id, len(ws)
+"""
+
+
+@query("op2_license_scan", _license_sql())
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -85,7 +122,7 @@ FROM s QUALIFY rank <= 10
 
 @query("op3_top_k", _TOP_K_SQL)
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    vectors = stored(topk.whole_vectors(table(spark, sf_dir, "embeddings")), "whole")  # read as vectors and as queries
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
@@ -134,8 +171,10 @@ WITH rows AS (
     SELECT doc_id, text, coalesce(lang, 'unknown') AS mix_lang, coalesce(source, 'unknown') AS mix_source,
            CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
                 ELSE 'domain' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 4) END AS mix_domain,
-           len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS mix_tokens
-    FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) > 0
+           len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS mix_tokens
+    FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) > 0
 ), leaves AS (
     SELECT mix_domain, mix_lang, mix_source, sum(mix_tokens)::HUGEINT AS tokens FROM rows GROUP BY ALL
 ), {", ".join(levels)},

@@ -35,7 +35,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contigloom.llm import words as W
@@ -246,14 +246,19 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
     packed = stored(rows.mapInArrow(_pack(order), "block long, kind int, key long, n long, texts binary"), "blocks")
     words = packed.where(F.col("kind") == _WORD).select("block", "key", "n")
     grams = packed.where(F.col("kind") == _GRAM).select("block", "key", "n")
-    word_counts = words.groupBy("key").agg(F.sum("n").alias("n"))
-    total = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    gram_counts = grams.groupBy("key").agg(F.sum("n").alias("n"))
+    # a word stands once in a block, so a window over a word has a row for each block at most
+    same = Window.partitionBy("key")
+    replies = stored(
+        words.select("block", "key", F.sum("n").over(same).alias("total"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "words"
+    )
+    once = F.when(F.col("first") & (F.col("total") > 0), F.col("total"))
+    total = replies.agg(F.coalesce(F.sum(once), F.lit(0)), F.count(once)).first()
+    gram_counts = stored(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
     pairs = np.zeros(65536)
     low = gram_counts.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,536 rows
     pairs[low.column("pair").to_numpy()] = low.column("n").to_numpy()
     logs = gram_counts.repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF)).mapInArrow(_scored_grams(pairs.reshape(256, 256), order), "key long, value double")
-    values = words.join(word_counts.select("key", F.col("n").cast("double").alias("value")), "key").select("block", F.lit(_WORD).alias("kind"), "key", "value")
+    values = replies.select("block", F.lit(_WORD).alias("kind"), "key", F.col("total").cast("double").alias("value"))
     values = values.unionByName(grams.join(logs, "key").select("block", F.lit(_GRAM).alias("kind"), "key", "value"))
     texts = packed.where(F.col("kind") == _TEXT).select(F.col("block").alias("home"), "texts")
     scored = texts.groupBy("home").cogroup(values.groupBy("block")).applyInArrow(_scores(order), _OUT)

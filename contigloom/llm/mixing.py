@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float,
     ``mix_extra`` tokens.  ``total``: tokens, or as a float a share of all.
     """
     rows = _nodes(docs)
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("mix_tokens").cast("long").alias("tokens"))
+    leaves = stored(rows.groupBy(*LEVELS).agg(F.sum("mix_tokens").cast("long").alias("tokens")), "tokens")  # else every level reads all texts
     if isinstance(total, float):
         total = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * total)
     given = budgets(leaves, weights, total, most_epochs, other).where("budget > 0")
@@ -113,7 +113,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float,
         *LEVELS, F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("mix_epochs"), (F.col("budget") % F.col("tokens")).cast("long").alias("mix_rest")
     )
     # the order of the epoch that is not whole; documents of one id are told apart by their text
-    document = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("text").cast("binary"))]
+    document = ["mix_id", "mix_text"]
+    rows = rows.withColumns({"mix_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mix_text": F.md5(F.col("text").cast("binary"))})
     place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "mix_epochs", *document).cast("binary")), 1, 15), 16, 10).cast("long")
     # a shuffle by leaf would do for what follows as well, and keep a hot leaf in one task: documents are dealt by leaf and range
     given = stored(given, "leaves")

@@ -45,6 +45,8 @@ _U = np.uint64
 ORDER = 4
 #: Bytes of text in a block; one text alone may be larger.
 BLOCK = 32 << 20
+#: Bytes of text whose grams are held at a time; a single text may be longer.
+GRAM_SLICE = 1 << 19
 _WORD, _GRAM, _TEXT = 0, 1, 2
 #: Key of the end token among word hashes.
 END = 0
@@ -59,7 +61,7 @@ def _grams(texts: pa.Array, order: int):
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(ends, ends[row] + W.SLICE, side="right")) - 1)
+        end = max(row + 1, int(np.searchsorted(ends, ends[row] + GRAM_SLICE, side="right")) - 1)
         sizes = np.diff(ends[row : end + 1])
         own = np.repeat(np.arange(end - row), sizes)
         padded = np.full(int(sizes.sum()) + (order + 1) * (end - row), 0xFF, np.uint8)

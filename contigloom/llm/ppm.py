@@ -42,7 +42,7 @@ from contigloom.llm import words as W
 from contigloom.llm.shared import stored
 
 _U = np.uint64
-ORDER = 4
+ORDER = 5
 #: Bytes of text in a block; one text alone may be larger.
 BLOCK = 32 << 20
 #: Bytes of text whose grams are held at a time; a single text may be longer.
@@ -79,8 +79,19 @@ def _grams(texts: pa.Array, order: int):
 
 
 def _totals(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    """Distinct keys, sorted, and their sums.  The parts are sorted runs, which a stable sort merges."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[by], first).astype(np.int64)
+
+
+def _add(parts: list[tuple[np.ndarray, np.ndarray]], part: tuple[np.ndarray, np.ndarray]) -> None:
+    """Append to parts of which each is more than twice the next, so that they hold few keys more than once."""
+    while parts and len(parts[-1][0]) <= 2 * len(part[0]):
+        part = _totals([parts.pop(), part])
+    parts.append(part)
 
 
 def _counted(codes: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +115,9 @@ def _pack(order: int):
         trained = ~batch.column(1).to_numpy(zero_copy_only=False)
         words, grams = [(np.array([END], _U), np.array([trained.sum()], np.float64))], []
         for lo, hi, offsets, hashes in W.hash_words(batch.column(2), W.SPACED):
-            words.append(_counted(hashes, np.repeat(trained[lo:hi], np.diff(offsets)).astype(np.float64)))
+            _add(words, _counted(hashes, np.repeat(trained[lo:hi], np.diff(offsets)).astype(np.float64)))
         for lo, hi, sizes, codes in _grams(batch.column(2), order):
-            grams.append(_counted(codes, np.repeat(trained[lo:hi], sizes).astype(np.float64)))
+            _add(grams, _counted(codes, np.repeat(trained[lo:hi], sizes).astype(np.float64)))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
             writer.write_batch(batch)
@@ -245,17 +256,17 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    packed = stored(rows.mapInArrow(_pack(order), "block long, kind int, key long, n long, texts binary"), "blocks")
+    packed = stored(rows.mapInArrow(_pack(order), "block long, kind int, key long, n long, texts binary"), "blocks", "zstd")
     words = packed.where(F.col("kind") == _WORD).select("block", "key", "n")
     grams = packed.where(F.col("kind") == _GRAM).select("block", "key", "n")
     # a word stands once in a block, so a window over a word has a row for each block at most
     same = Window.partitionBy("key")
     replies = stored(
-        words.select("block", "key", F.sum("n").over(same).alias("total"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "words"
+        words.select("block", "key", F.sum("n").over(same).alias("total"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "words", "zstd"
     )
     once = F.when(F.col("first") & (F.col("total") > 0), F.col("total"))
     total = replies.agg(F.coalesce(F.sum(once), F.lit(0)), F.count(once)).first()
-    gram_counts = stored(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    gram_counts = stored(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams", "zstd")
     pairs = np.zeros(65536)
     low = gram_counts.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,536 rows
     pairs[low.column("pair").to_numpy()] = low.column("n").to_numpy()

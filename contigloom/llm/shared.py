@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from contigloom.session import shared_folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Unlike ``checkpoint()`` the files are columnar and compressed, and a reader
     takes only the columns it needs; like it, they outlive any executor.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

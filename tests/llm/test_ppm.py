@@ -77,6 +77,24 @@ def test_equals_plain_trie(spark, monkeypatch, order, block):
     check(rows, ppm.ppm_scores(docs, crc_part(F.col("doc_id"), 7) == 2, order).collect(), order)
 
 
+def test_default_is_order_five(spark):
+    rows = [(i, t) for i, t in enumerate(["abracadabra abracadabra", "bananas and bread and bananas", "cabbage", "abracadabra bread"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, ppm.ppm_scores(docs, crc_part(F.col("doc_id"), 7) == 2).collect(), 5)
+
+
+def test_counts_are_merged_as_they_come():
+    r, parts, want = np.random.default_rng(1), [], Counter()
+    for _ in range(200):
+        codes, trained = r.integers(0, 500, 300).astype(np.uint64), r.integers(0, 2, 300).astype(float)
+        ppm._add(parts, ppm._counted(codes, trained))
+        for c, t in zip(codes.tolist(), trained.tolist()):
+            want[c] += int(t)
+        assert sum(len(k) for k, _ in parts) <= 2 * len(want)
+    keys, counts = ppm._totals(parts)
+    assert dict(zip(keys.tolist(), counts.tolist())) == want
+
+
 def test_odd_rows(spark, odd_docs):
     docs = odd_docs.where("text IS NULL OR length(text) < 5000")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

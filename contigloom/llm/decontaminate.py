@@ -9,8 +9,10 @@ if it has at least ``min_words`` equal words (all words of a shorter item) and
 a share of ``min_share`` of equal words.
 
 A bitmap of fixed size built from the benchmark's seeds only thins out which
-seeds of a document enter the join.  Items shorter than the masks are sought as
-they stand, from ``SHORTEST`` words on.
+seeds of a document enter the join.  The masks miss nothing that is accepted:
+every row of equal and different words with at least 8 equal ones and a share of
+0.75 has one of them on equal words only.  Items of fewer words, of which all
+must be equal, are sought as they stand, from ``SHORTEST`` words on.
 
 Words are runs of letters, digits and non-ASCII, A-Z lower-cased, compared by
 64-bit hashes.  Null and empty texts overlap with nothing, in either table; so
@@ -30,9 +32,12 @@ from contigloom.llm import words as W
 from contigloom.llm.shared import Bitmap, stored
 
 _U = np.uint64
-#: 7 of 11 words each; the ignored places differ.
-MASKS = ("11010110101", "11100101011", "10110011101")
-SPAN = 11
+#: 6 words each.  Of the rows of SPAN or more equal words with a share of MIN_SHARE that hold no smaller such row (133 of
+#: them, up to 16 words long) each has one of these masks on equal words.
+MASKS = ("111111", "11101011", "11010111", "11101101", "110110101", "101001111", "1110010011", "1101000111", "1110011001", "1101101001")
+#: Shorter items are sought as they stand.
+SPAN = 8
+MIN_SHARE = 0.75
 SHORTEST = 3
 
 
@@ -123,11 +128,13 @@ def _verified(min_words: int, min_share: float):
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 8, min_share: float = 0.75) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = SPAN, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, text_key, item_id, doc_word, item_word, n_words, n_equal), one row per document, item and diagonal.
 
     Word places count from 0; text_key is xxhash64 of the text.
     """
+    if min_words < SPAN or min_share < MIN_SHARE:
+        raise ValueError(f"the masks find all overlaps of at least {SPAN} words and a share of {MIN_SHARE}, not of less")
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
         .where("item_id IS NOT NULL AND text IS NOT NULL")

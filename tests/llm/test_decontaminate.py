@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -80,3 +81,32 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert without_overlaps(odd_docs, overlaps(odd_docs, items)).count() == odd_docs.count() - 4
     assert overlaps(no_docs, items).collect() == [] and overlaps(odd_docs, items.limit(0)).collect() == []
     assert without_overlaps(odd_docs, overlaps(odd_docs, items.limit(0))).count() == odd_docs.count()
+
+
+def changed(text, *places):
+    return " ".join(f"other{i}" if i in places else w for i, w in enumerate(text.split()))
+
+
+def test_no_overlap_is_hidden_by_the_masks(spark):
+    item = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    items = [(i, item(i, n)) for i, n in enumerate([30, 30, 11, 11, 12, 10, 10, 8, 9])]
+    part = lambda i, a, b: " ".join(items[i][1].split()[a:b])
+    docs = [part(0, 5, 13), part(1, 20, 30), changed(items[2][1], 0), changed(items[3][1], 10), changed(items[4][1], 1, 10), changed(items[5][1], 4), changed(items[6][1], 1)]
+    docs += [items[7][1], changed(items[8][1], 5)]
+    docs = [(i, f"before it {t} after it") for i, t in enumerate(docs)] + [(20, part(0, 5, 12)), (21, changed(items[8][1], 3, 6)), (22, changed(items[7][1], 3))]
+    found = overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(9)]
+
+
+def test_masks_fit_every_smallest_overlap():
+    accepted = lambda p: sum(p) >= 8 and sum(p) >= 0.75 * len(p)
+    n = 0
+    for words in range(8, 17):
+        for other in range(words // 3 + 1):
+            for at in itertools.combinations(range(1, words + other - 1), other):
+                p = [i not in at for i in range(words + other)]
+                if accepted(p[1:]) or accepted(p[:-1]) or any(accepted(p[a:b]) for a in range(len(p)) for b in range(a + 8, len(p) + 1) if b - a < len(p)):
+                    continue
+                n += 1
+                assert any(all(c == "0" or p[k + j] for j, c in enumerate(m)) for m in MASKS for k in range(len(p) - len(m) + 1)), p
+    assert n == 133

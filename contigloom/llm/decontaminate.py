@@ -4,9 +4,9 @@ A seed is a hash of the words under a fixed mask that ignores some places, so a
 substituted word there does not hide an overlap.  Seeds of all benchmark texts
 and of all documents are joined; a joint seed gives a diagonal (document
 position less item position), and on each diagonal the words themselves are
-aligned.  The best stretch (+1 for an equal word, -2 for another) is an overlap
-if it has at least ``min_words`` equal words (all words of a shorter item) and
-a share of ``min_share`` of equal words.
+aligned.  An overlap is a stretch of at least ``min_words`` equal words (all
+words of a shorter item) with a share of ``min_share`` of equal words; of those
+on a diagonal the one with the most equal words beyond that share is returned.
 
 A bitmap of fixed size built from the benchmark's seeds only thins out which
 seeds of a document enter the join.  The masks miss nothing that is accepted:
@@ -99,12 +99,20 @@ def _hits(masks: list[str], wanted: Bitmap):
     return run
 
 
-def _best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """[start, end) of the largest sum of +1 for equal and -2 for different words."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    return int(np.argmax(sums[: end + 1] == low[end])), end
+def _best_stretch(equal: np.ndarray, least: int, min_share: float) -> tuple[int, int] | None:
+    """[start, end) of the stretch with the most equal words beyond ``min_share`` of its length, among those of ``least`` equal words."""
+    n = np.concatenate([[0], np.cumsum(equal)])
+    beyond = n - min_share * np.arange(len(n))
+    low = np.minimum.accumulate(beyond)
+    last = np.searchsorted(n, n - least, side="right") - 1  # the last start that leaves enough equal words, for each end
+    ends = np.flatnonzero(last >= 0)
+    if not len(ends):
+        return None
+    most = beyond[ends] - low[last[ends]]
+    end = int(ends[np.argmax(most)])
+    if most.max() < -1e-9:
+        return None
+    return int(np.argmax(beyond[: last[end] + 1] == low[last[end]])), end
 
 
 def _verified(min_words: int, min_share: float):
@@ -118,9 +126,10 @@ def _verified(min_words: int, min_share: float):
                 mine, items = mine.values.to_numpy(zero_copy_only=False), items.values.to_numpy(zero_copy_only=False)
                 shift = max(0, -d)  # the item may begin before the document
                 equal = mine == items[shift : shift + len(mine)]
-                a, b = _best_stretch(equal)
-                n = int(equal[a:b].sum())
-                if n >= min(min_words, len(items)) and n >= min_share * (b - a):
+                stretch = _best_stretch(equal, min(min_words, len(items)), min_share)
+                if stretch:
+                    a, b = stretch
+                    n = int(equal[a:b].sum())
                     out.append((doc.as_py(), key.as_py(), item.as_py(), max(0, d) + a, shift + a, b - a, n))
             cols = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)

@@ -2,7 +2,9 @@ import itertools
 import random
 import re
 
-from contigloom.llm.decontaminate import MASKS, SPAN, overlaps, without_overlaps
+import numpy as np
+
+from contigloom.llm.decontaminate import MASKS, SPAN, _best_stretch, overlaps, without_overlaps
 
 
 def words(text):
@@ -110,3 +112,27 @@ def test_masks_fit_every_smallest_overlap():
                 n += 1
                 assert any(all(c == "0" or p[k + j] for j, c in enumerate(m)) for m in MASKS for k in range(len(p) - len(m) + 1)), p
     assert n == 133
+
+
+def test_no_stretch_hides_another(spark):
+    long = " ".join(f"w{j}" for j in range(220))
+    more = changed(long, *(j for j in range(20, 220) if j % 10 > 6))
+    ten = " ".join(f"v{j}" for j in range(10))
+    apart = " ".join(f"u{j}" for j in range(60))
+    docs = [(1, f"x y {more} z"), (2, f"x {changed(ten, 3, 7)} z"), (3, changed(apart, *range(7, 40), 43, 46, *range(51, 60)))]
+    items = spark.createDataFrame([(1, long), (2, ten), (3, apart)], "item_id long, text string")
+    found = overlaps(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 2), (3, 3)}
+    assert all(r.n_equal >= 8 and r.n_equal >= 0.75 * r.n_words for r in found)
+
+
+def test_stretch_is_found_where_there_is_one():
+    r = random.Random(5)
+    for _ in range(1500):
+        equal = [r.random() < r.choice([0.5, 0.75, 0.9]) for _ in range(r.randint(1, 40))]
+        every = [(a, b) for a in range(len(equal)) for b in range(a + 8, len(equal) + 1) if sum(equal[a:b]) >= max(8, 0.75 * (b - a))]
+        got = _best_stretch(np.array(equal), 8, 0.75)
+        assert (got in every) if every else got is None
+        if every:
+            gain = lambda s: sum(equal[slice(*s)]) - 0.75 * (s[1] - s[0])
+            assert gain(got) == max(map(gain, every))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigloom.llm import chat, decontaminate, lengths, licenses, mixing, near_dedup, pii, ppm, quality, topk
+from contigloom.llm import chat, decontaminate, divergence, lengths, licenses, mixing, near_dedup, negatives, pii, ppm, quality, sharding, topk
 from contigloom.llm.shared import crc_part, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,6 +254,102 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(docs, pii.fit(docs))
 
 
+_NEGATIVES_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+    FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth
+    FROM s WHERE same QUALIFY nth <= 5
+), n AS (
+    SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.nth ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op11_hard_negatives", _NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.hard_negatives(negatives.whole_vectors(rows), F.col("vec_id") % 50 == 0)
+
+
+_SHARD_SQL = f"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+    FROM range(256) r(i)
+), digits AS (
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes,
+           list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda h: instr('0123456789ABCDEF', h) - 1) AS h FROM documents
+), sized AS (
+    SELECT doc_id, (bytes + 8)::BIGINT AS size, CASE WHEN bytes = 0 THEN 0 ELSE xor(4294967295::BIGINT,
+           list_reduce([4294967295::BIGINT] || list_transform(range(1, bytes + 1), lambda k: h[2 * k - 1] * 16 + h[2 * k]),
+                       lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) END AS text_crc32
+    FROM digits, crc_table
+), jumps AS (
+    SELECT DISTINCT doc_id, 0::DOUBLE AS spot, ((coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616)::HUGEINT AS state FROM documents
+    UNION ALL
+    SELECT doc_id, floor((spot + 1) * (2147483648::DOUBLE / (next // 8589934592 + 1)::DOUBLE)), next
+    FROM (SELECT doc_id, spot, (state * {sharding.MULTIPLIER} + 1) % 18446744073709551616 AS next FROM jumps WHERE spot < 25) j
+), placed AS (
+    SELECT doc_id, (max(spot) FILTER (spot < 24))::INTEGER AS shard, (max(spot) FILTER (spot < 25))::INTEGER AS grown_shard FROM jumps GROUP BY doc_id
+)
+SELECT s.doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY s.doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
+FROM sized s JOIN placed p ON p.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
+
+SHARDS = 24
+
+
+@query("op12_sharding", _SHARD_SQL)
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"), SHARDS)
+
+
+_DIVERGENCE_SQL = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), w AS (SELECT doc, lang, source, unnest(ws) AS term FROM d
+), c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM w GROUP BY ALL
+), v AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= {divergence.LEAST_DOCS}
+), l AS (SELECT lang, count(*) AS kept, sum(n)::BIGINT AS total FROM v GROUP BY lang
+), g AS (
+    SELECT d.lang, d.source, coalesce(any_value(l.kept), 0) AS kept, coalesce(any_value(l.total), 0) AS lang_total, coalesce(any_value(t.total), 0) AS total
+    FROM d LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(c.n)::BIGINT AS total FROM c JOIN v USING (lang, term) GROUP BY ALL) t USING (lang, source)
+    GROUP BY d.lang, d.source
+), p AS (
+    SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.kept) AS p,
+           1 + 1000000000::HUGEINT * (v.n + 2) // (g.lang_total + 2 * g.kept) AS q
+    FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), pair AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), every AS (
+    SELECT * FROM pair UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM every QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+@query("op13_divergence", _DIVERGENCE_SQL)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -48,9 +48,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    Like ``checkpoint()`` it outlives any executor; unlike it, readers take only
+    the columns they need, and the planner sees the size that was written.  (A
+    checkpoint keeps the estimate of its plan, which multiplies at every join:
+    after a chain of them nothing small is broadcast any more, and the estimates
+    themselves grow to numbers that take minutes to multiply.)
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contigloom.operators import assembly_graph as ag
 from contigloom.operators import block_filters as bf
 from contigloom.operators import blocks as bl
+from contigloom.functions.intervals import minimum_bin
 from contigloom.operators import ordering, reads, regions
 from contigloom.plans.catalog_blocks import _BLOCK_SQL, _block_cols
 from contigloom.plans.catalog_graph import _COMP, _VERTEX
@@ -16,7 +17,7 @@ from contigloom.plans.fixture import M_LEN, S_LEN, Tables, oracle
 from contigloom.plans.registry import long, query
 from contigloom.session import cut_lineage, scratch_path
 from contigloom.sinks import textfiles as sink
-from contigloom.sources import alignments, bam, textfiles
+from contigloom.sources import alignments, bam, bam_index, textfiles
 
 
 def _write(t: Tables, aln: DataFrame, side: str, path: str, mode: str = "append") -> None:
@@ -197,3 +198,66 @@ def contig_dot(t: Tables):
     pairs = cut_lineage(ag.contig_pairs(t.merge_blocks))
     dot = sink.contig_dot(cut_lineage(ag.contig_components(pairs)), pairs)
     return dot.select(long("component").alias("component"), long("ord").alias("ord"), "value")
+
+
+@query(
+    "bam_unindexed_splits",
+    oracle(
+        """SELECT name, CAST(flag AS BIGINT) AS flag, CAST(ctg AS BIGINT) AS ref_id, CAST(pos AS BIGINT) AS pos, CAST(epos AS BIGINT) AS epos, CAST(nh AS BIGINT) AS nh FROM am""",
+        "am",
+    ),
+)
+def bam_unindexed_splits(t: Tables):
+    """Files without an index, read by a task for every 200 kB: the tasks find the records by themselves."""
+    path = scratch_path(t.spark, "bam-split")
+    _write(t, t.master, "m", path)
+    back = t.spark.read.format("bam").schema("name string, flag int, ref_id int, pos int, epos int, nh int").option("splitBytes", 200_000).load(path)
+    return back.select("name", *[long(c).alias(c) for c in ("flag", "ref_id", "pos", "epos", "nh")])
+
+
+#: Master reads in genome coordinates; some skip 20 to 800 kb, so that their records lie in bins of several levels.
+_SPLICED = """SELECT name, flag, nh, ctg * 10000 + pos AS pos, len, CASE WHEN pos % 97 = 0 THEN 800000 WHEN pos % 89 = 0 THEN 150000 WHEN pos % 83 = 0 THEN 20000 ELSE 0 END AS skip FROM {aln}"""
+_SPLICED_CTE = f"sp AS (SELECT *, pos + len + skip + CASE WHEN skip > 0 THEN 1 ELSE 0 END AS epos FROM ({_SPLICED.format(aln='am')}) q)"
+
+
+def _spliced(t: Tables):
+    """Position-sorted, indexed BAM files of the spliced reads: a reader for their reference, and their folder."""
+    bam.register(t.spark)
+    path = scratch_path(t.spark, "bam-bins")
+    aln = t.spark.sql(_SPLICED, aln=t.master)
+    cigar = F.when(F.col("skip") > 0, F.concat(F.col("len").cast("string"), F.lit("M"), F.col("skip").cast("string"), F.lit("N1M")))
+    records = aln.select(
+        "name", F.col("flag").cast("int").alias("flag"), F.lit(0).alias("ref_id"), F.col("pos").cast("int").alias("pos"),
+        F.coalesce(cigar, F.concat(F.col("len").cast("string"), F.lit("M"))).alias("cigar"), F.lit(-1).alias("mate_ref_id"), F.lit(-1).alias("mate_pos"),
+    )
+    sorted_ = records.repartitionByRange("pos").sortWithinPartitions("pos")
+    sorted_.write.format("bam").mode("append").option("references", f"g:{1 << 29}").save(path)
+    back = t.spark.read.format("bam").schema("path string, rec_no long, ref_id int, pos int, epos int").load(path)
+    bam_index.index_files(back, back.select("path").distinct().withColumn("n", F.lit(1))).write.format("noop").mode("overwrite").save()
+    return t.spark.read.format("bam").option("ref", 0), path
+
+
+@query(
+    "bam_bin_levels",
+    oracle(
+        """SELECT bin, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(CASE WHEN pos >> 14 = (epos - 1) >> 14 THEN 4681 + (pos >> 14) WHEN pos >> 17 = (epos - 1) >> 17 THEN 585 + (pos >> 17)
+ WHEN pos >> 20 = (epos - 1) >> 20 THEN 73 + (pos >> 20) WHEN pos >> 23 = (epos - 1) >> 23 THEN 9 + (pos >> 23) ELSE 1 + (pos >> 26) END AS BIGINT) AS bin FROM sp) x GROUP BY bin""",
+        "am", extra=_SPLICED_CTE,
+    ),
+)
+def bam_bin_levels(t: Tables):
+    """Records per bin of several levels, read through the chunks of the written index."""
+    reader, path = _spliced(t)
+    back = reader.schema("ref_id int, pos int, epos int").load(path)
+    return back.groupBy(long(minimum_bin(F.col("pos"), F.col("epos"))).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "bam_indexed_region",
+    oracle("SELECT name, CAST(flag AS BIGINT) AS flag, pos, epos FROM sp WHERE pos < 140000 AND epos > 120000", "am", extra=_SPLICED_CTE),
+)
+def bam_indexed_region(t: Tables):
+    """A region by its bins' chunks: reads that lie in it and reads that only reach into it."""
+    reader, path = _spliced(t)
+    back = reader.option("begin", 120_000).option("end", 140_000).schema("name string, flag int, pos int, epos int").load(path)
+    return back.select("name", *[long(c).alias(c) for c in ("flag", "pos", "epos")])

@@ -136,7 +136,7 @@ def test_bam_round_trip_index_and_tags(spark, tmp_path):
     text, refs, _ = bam.read_header(file)
     assert text.startswith("@HD") and refs == [("a", 300000), ("b", 300000), ("c", 300000)]
     sizes = spark.createDataFrame([(file, 4)], "path string, n int")  # the last reference has no records
-    assert [tuple(r) for r in bam_index.write_bai(bam_index.linear_index(back), sizes).collect()] == [(file, 39)]
+    assert [tuple(r) for r in bam_index.index_files(back, sizes).collect()] == [(file, 39)]
     offsets = bam.index_offsets(file)
     assert [len(o) for o in offsets] == [13, 13, 13, 0] and all(v for o in offsets for v in o)
     split = spark.read.format("bam").option("splitBytes", "1").load(path)

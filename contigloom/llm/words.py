@@ -2,7 +2,8 @@
 
 A byte is part of a word or not by a table of 256 entries; A-Z is lower-cased.
 A word's hash is a sum of (byte value x position multiplier) with a final mix,
-so it does not depend on where the word stands.
+so it does not depend on where the word stands.  Multipliers come from a table
+for a place in a block of 4,096 bytes, times one for the block.
 """
 
 from __future__ import annotations
@@ -50,6 +51,15 @@ _BYTE = constants(256, 1)
 _PLACE = constants(4096, 2)
 
 
+def _multipliers(place: np.ndarray) -> np.ndarray:
+    """One for every place in a word; the first block takes the table as it is."""
+    out = _PLACE[place & 4095]
+    late = np.flatnonzero(place >= 4096)
+    if len(late):
+        out[late] *= mix(((place[late] >> 12).astype(_U) + _U(3 << 40)) * _U(0x9E3779B97F4A7C15)) | _U(1)
+    return out
+
+
 def _hash_piece(raw: np.ndarray, breaks: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(byte offset of each word, hash); ``breaks`` are offsets where a text begins."""
     low = LOWER[raw]
@@ -63,7 +73,7 @@ def _hash_piece(raw: np.ndarray, breaks: np.ndarray, word: np.ndarray) -> tuple[
     kept = low[inside]
     begins = (np.cumsum(inside) - 1)[starts]  # of each word among the kept bytes
     place = np.arange(len(kept)) - np.repeat(begins, np.diff(np.append(begins, len(kept))))
-    sums = np.add.reduceat(_BYTE[kept] * _PLACE[place & 4095] + (place >> 12).astype(_U), begins)
+    sums = np.add.reduceat(_BYTE[kept] * _multipliers(place), begins)
     return starts, mix(sums)
 
 

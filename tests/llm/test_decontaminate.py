@@ -11,19 +11,8 @@ def words(text):
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
 
 
-def best(equal):
-    """All stretches; the largest sum of +1 and -2, the first and longest from the left like the operator's."""
-    top, at = 0, (0, 0)
-    for a in range(len(equal)):
-        s = 0
-        for b in range(a, len(equal)):
-            s += 1 if equal[b] else -2
-            if s > top:
-                top, at = s, (a, b + 1)
-    return at
-
-
 def brute(docs, items, min_words=8, min_share=0.75):
+    """All stretches on all diagonals, whatever the masks: the one with the most equal words beyond the share, the leftmost of equals."""
     seen, out = {}, set()
     for i, t in items:
         w = tuple(words(t))
@@ -33,18 +22,19 @@ def brute(docs, items, min_words=8, min_share=0.75):
         d = words(text)
         for w, item in seen.items():
             for diagonal in range(-len(w) + 1, len(d)):
-                equal = [0 <= diagonal + j < len(d) and d[diagonal + j] == w[j] for j in range(len(w))]
-                masks = MASKS if len(w) >= SPAN else ["1" * len(w)]
-                hit = any(
-                    all(c == "0" or equal[p + j] for j, c in enumerate(m)) and 0 <= diagonal + p and diagonal + p + len(m) <= len(d)
-                    for m in masks
-                    for p in range(len(w) - len(m) + 1)
-                )
-                if hit:
-                    a, b = best(equal)
-                    n = sum(equal[a:b])
-                    if n >= min(min_words, len(w)) and n >= min_share * (b - a):
-                        out.add((doc, item, max(0, diagonal) + a - max(0, -diagonal), b - a, n))
+                inside = range(max(0, -diagonal), min(len(w), len(d) - diagonal))
+                n = list(itertools.accumulate((d[diagonal + j] == w[j] for j in inside), initial=0))
+                if n[-1] < min(min_words, len(w)):
+                    continue
+                stretches = [
+                    (min_share * (b - a) - (n[b] - n[a]), b, a)
+                    for b in range(len(n))
+                    for a in range(b)
+                    if n[b] - n[a] >= min(min_words, len(w))
+                ]
+                missing, b, a = min(stretches)
+                if missing <= 0:
+                    out.add((doc, item, diagonal + inside[0] + a, b - a, n[b] - n[a]))
     return out
 
 

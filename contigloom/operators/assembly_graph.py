@@ -304,3 +304,50 @@ def chain_paths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     before = edges.select(F.col("dst").alias("vertex"), F.col("src").alias("prev"))
     nodes = vertices.select("vertex").join(before, "vertex", "left")
     return rank_chains(nodes.select(F.col("vertex").alias("node"), "prev")).withColumnRenamed("node", "vertex")
+
+
+# -- reach ------------------------------------------------------------------
+
+
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    """The same graph walked backwards; the other columns stay with their edge."""
+    swapped = {"src": F.col("dst"), "dst": F.col("src")}
+    return edges.select(*[swapped.get(c, F.col(c)).alias(c) for c in edges.columns])
+
+
+def next_contigs(vertices: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, asm, ctg): the contigs of all vertices that can be reached from each start, its own included.
+
+    ``vertices``: vertex, m_ctg, s_ctg; ``starts``: vertex.  Stretches without
+    forks are ranked by pointer doubling and become one step each, so there are
+    as many rounds as forks on the longest way, not vertices.  On
+    ``reversed_edges`` these are the contigs before a start.
+    """
+    edges = cut_lineage(edges.select("src", "dst").distinct())
+    ends = cut_lineage(degrees(vertices, edges))
+    one_out = ends.where("out_deg = 1").select(F.col("vertex").alias("src"), F.lit(True).alias("one_out"))
+    one_in = ends.where("in_deg = 1").select(F.col("vertex").alias("dst"), F.lit(True).alias("one_in"))
+    tagged = cut_lineage(edges.join(one_out, "src", "left").join(one_in, "dst", "left").select("src", "dst", (F.col("one_out") & F.col("one_in")).alias("thin")))
+    before = tagged.where("thin").select(F.col("dst").alias("node"), F.col("src").alias("prev"))
+    nodes = vertices.select(F.col("vertex").alias("node")).join(before, "node", "left")
+    ranked = rank_chains(nodes).select(F.col("node").alias("vertex"), "head", "rank")
+    # a ring without forks has no head: its vertices stay steps of their own
+    place = cut_lineage(
+        vertices.select("vertex", "m_ctg", "s_ctg").join(ranked, "vertex", "left")
+        .select("vertex", "m_ctg", "s_ctg", F.coalesce("head", "vertex").alias("chain"), F.coalesce("rank", F.lit(0)).alias("rank"), F.col("head").isNull().alias("ring"))
+    )
+    at = lambda c: place.select(F.col("vertex").alias(c), F.col("chain").alias(f"{c}_chain"), F.col("ring").alias(f"{c}_ring"))
+    steps = tagged.join(at("src"), "src").join(at("dst"), "dst").where("thin IS NULL OR NOT thin OR src_ring OR dst_ring")
+    steps = cut_lineage(steps.select(F.col("src_chain").alias("chain"), F.col("dst_chain").alias("to")).distinct())
+    own = cut_lineage(starts.select("vertex").distinct().join(place, "vertex").select(F.col("vertex").alias("start"), "chain", F.col("rank").alias("start_rank")))
+    front = cut_lineage(own.join(steps, "chain").select("start", F.col("to").alias("chain")).distinct())
+    seen = front
+    while front.limit(1).count():
+        reached = front.join(steps, "chain").select("start", F.col("to").alias("chain")).distinct()
+        front = cut_lineage(reached.join(seen, ["start", "chain"], "left_anti"))
+        seen = cut_lineage(seen.unionByName(front))
+    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("asm"), F.col(f"{a}_ctg").alias("ctg")) for a in ("m", "s")])).alias("c")
+    of_chain = cut_lineage(place.select("chain", "rank", sides).select("chain", "rank", "c.*"))
+    beyond = seen.join(of_chain.select("chain", "asm", "ctg").distinct(), "chain").select("start", "asm", "ctg")
+    here = own.join(of_chain, "chain").where("rank >= start_rank").select("start", "asm", "ctg")
+    return beyond.unionByName(here).distinct()

@@ -261,3 +261,21 @@ def bam_indexed_region(t: Tables):
     reader, path = _spliced(t)
     back = reader.option("begin", 120_000).option("end", 140_000).schema("name string, flag int, pos int, epos int").load(path)
     return back.select("name", *[long(c).alias(c) for c in ("flag", "pos", "epos")])
+
+
+@query(
+    "multi_bam_region",
+    oracle(
+        """SELECT name, CAST(mate AS BIGINT) AS mate, CAST(lib_id AS BIGINT) AS lib_id, CAST(ctg AS BIGINT) AS ctg, CAST(pos AS BIGINT) AS pos FROM am
+ WHERE ctg = 2 AND pos < 7000 AND epos > 1000""",
+        "am",
+    ),
+)
+def multi_bam_region(t: Tables):
+    """A region asked of all libraries of a list at once."""
+    base = scratch_path(t.spark, "bam-libs")
+    for lib in (0, 1):
+        _write(t, t.master.where(F.col("lib_id") == lib), "m", f"{base}/lib{lib}")
+    libraries = t.spark.range(2).select(F.col("id").cast("int").alias("lib_id"), F.concat(F.lit(f"{base}/lib"), F.col("id").cast("string")).alias("path"))
+    found = alignments.read_alignments(t.spark, libraries, (2, 1000, 7000))
+    return found.select("name", *[long(c).alias(c) for c in ("mate", "lib_id", "ctg", "pos")])

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from contigloom.operators import assembly_graph as ag
 from contigloom.operators import forks as fk
+from contigloom.operators import regions
 from contigloom.operators import strands as st
-from contigloom.plans.fixture import Tables
+from contigloom.plans.fixture import Tables, oracle
 from contigloom.plans.registry import query
 from contigloom.session import cut_lineage
+from contigloom.sinks import textfiles as sink
 
 #: The two blocks on each slave contig, by arrangement.
 ARRANGEMENTS = [
@@ -191,3 +193,77 @@ def structured_forks(t: Tables):
     )
     left, _ = fk.resolve_forks(fk.merge_vertices(hull), weighted, own)
     return left.select("vertex", "m_ctg", "s_ctg", "valid", "m_ltail", "m_rtail", "s_ltail", "s_rtail")
+
+
+def _reach_sql(start: str, other: str) -> str:
+    return _sql(
+        f"""SELECT DISTINCT {start} AS start, 'm' AS asm, m_ctg AS ctg FROM way JOIN sb ON vertex = {other} UNION ALL
+ SELECT DISTINCT {start}, 's', s_ctg FROM way JOIN sb ON vertex = {other}""",
+        _CLOSED,
+    )
+
+
+@query("next_contigs", _reach_sql("a", "b"))
+def next_contigs(t: Tables):
+    """What can be reached from every block, through forks, bubbles and cycles."""
+    vertices, edges = _graph(t)
+    return ag.next_contigs(vertices, edges, vertices)
+
+
+@query("previous_contigs", _reach_sql("b", "a"))
+def previous_contigs(t: Tables):
+    vertices, edges = _graph(t)
+    return ag.next_contigs(vertices, ag.reversed_edges(edges), vertices)
+
+
+_TOTALS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("m_start", "m_last", "s_start", "s_last", "mate"))
+
+
+@query(
+    "read_pair_sums",
+    oracle(f"SELECT m_ctg, s_ctg, CAST(count(*) AS BIGINT) AS pairs, {_TOTALS}, CAST(sum(CASE WHEN concordant THEN 1 ELSE 0 END) AS BIGINT) AS concordant FROM pairs GROUP BY m_ctg, s_ctg", "pairs"),
+)
+def read_pair_sums(t: Tables):
+    """The read pairs of every pair of contigs, counted and summed."""
+    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in ("m_start", "m_last", "s_start", "s_last", "mate")]
+    return t.pairs.groupBy("m_ctg", "s_ctg").agg(F.count("*").alias("pairs"), *sums, F.sum(F.col("concordant").cast("long")).alias("concordant"))
+
+
+@query(
+    "region_join_sums",
+    oracle(
+        """SELECT CAST(b.m_ctg AS BIGINT) AS m_ctg, CAST(b.s_ctg AS BIGINT) AS s_ctg, CAST(b.m_begin AS BIGINT) AS m_begin, CAST(count(*) AS BIGINT) AS reads,
+ CAST(sum(r.pos) AS BIGINT) AS pos, CAST(sum(r.mate) AS BIGINT) AS mate FROM b10 b JOIN am r ON r.ctg = b.m_ctg AND r.pos < b.m_end + 1 AND r.epos > b.m_begin
+ GROUP BY b.m_ctg, b.s_ctg, b.m_begin""",
+        "b10", "am",
+    ),
+)
+def region_join_sums(t: Tables):
+    """The reads that overlap each block's master frame, counted and summed."""
+    frames = t.merge_blocks.select(F.col("m_ctg").alias("ctg"), "s_ctg", F.col("m_begin").alias("begin"), F.col("m_end").alias("end"))
+    hits = regions.region_join(frames, t.master.select("name", "mate", "ctg", "pos", "epos"))
+    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in ("pos", "mate")]
+    return hits.groupBy(F.col("ctg").alias("m_ctg"), "s_ctg", F.col("begin").cast("long").alias("m_begin")).agg(F.count("*").alias("reads"), *sums)
+
+
+@query(
+    "structured_dot",
+    _sql(
+        """SELECT component AS comp, CAST(ord AS BIGINT) AS ord, value FROM (
+ SELECT DISTINCT component, 0 AS ord, concat('digraph AssemblyGraph_', CAST(component AS VARCHAR), ' {') AS value FROM place UNION ALL
+ SELECT DISTINCT component, 3, '}' FROM place UNION ALL
+ SELECT component, 1, concat('   ', CAST(sb.vertex AS VARCHAR), '[label="<0,', CAST(m_ctg AS VARCHAR), '> :', CAST(m_begin AS VARCHAR), ':900 (', printf('%.2f', CAST(num_reads AS DOUBLE) / 900), '/',
+ printf('%.2f', CAST(num_reads + q AS DOUBLE) / 900), ')\\n<0,', CAST(s_ctg AS VARCHAR), '> :', CAST(s_begin AS VARCHAR), ':900 (', printf('%.2f', CAST(num_reads AS DOUBLE) / 900), '/',
+ printf('%.2f', CAST(num_reads + q AS DOUBLE) / 900), ')"', CASE WHEN sb.vertex IN (SELECT src FROM ed GROUP BY src HAVING count(*) > 1) OR sb.vertex IN (SELECT dst FROM ed GROUP BY dst HAVING count(*) > 1)
+ THEN ', color=deepskyblue, style=filled];' ELSE '];' END) FROM sb JOIN place ON place.vertex = sb.vertex UNION ALL
+ SELECT component, 2, concat('   ', CAST(src AS VARCHAR), '->', CAST(dst AS VARCHAR), '[color=', CASE kind WHEN 'MASTER' THEN 'black' WHEN 'SLAVE' THEN 'red' ELSE 'green' END, ', label="0"];')
+ FROM ed JOIN place ON place.vertex = src) x""",
+        _CLOSED,
+    ),
+)
+def structured_dot(t: Tables):
+    """Lines of the block graphs' files, forking blocks coloured; read lengths are the counts of the stretch."""
+    vertices, edges = _graph(t)
+    reads = {f"{side}_{c}": F.col("num_reads") + (F.col("q") if c == "reads_len" else 0) for side in ("m", "s") for c in ("block_reads_len", "reads_len")}
+    vertices = cut_lineage(vertices.withColumns(reads))
+    return sink.assembly_dot(vertices, edges, ag.degrees(vertices, edges)).select("comp", F.col("ord").cast("long").alias("ord"), "value")

@@ -206,7 +206,7 @@ RANKS = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken
 @query("op7_lengths")
 def op7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lengths.token_counts(table(spark, sf_dir, "documents"), lengths.read_ranks(RANKS))
-    return lengths.running(lengths.histogram(counts))
+    return lengths.running(stored(lengths.histogram(counts), "lengths"))  # the sums read it three times
 
 
 @query("op8_quality")

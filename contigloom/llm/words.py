@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-SLICE = 2 << 20  # bytes of text handled at a time
+SLICE = 1 << 20  # bytes of text handled at a time
 
 
 def _class(outside: list[tuple[int, int]]) -> np.ndarray:

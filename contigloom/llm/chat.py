@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contigloom.llm.shared import stored
+
 CHUNK = 512
 TILE = 4096
 # The marks of the common chat markup.
@@ -50,10 +52,12 @@ def _numbered(turns: DataFrame, chunk: int) -> DataFrame:
 
 
 def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(conv_id, perspective, chunk, n_turns, n_own, text, mask) per conversation, participant and chunk.
+    """(conv_id, perspective, chunk, n_turns, n_own, first_char, text, mask) per conversation, participant and chunk.
 
-    mask: array of (start, end) in characters of text, end exclusive.  From a
-    view without turns in a chunk the mask is empty.
+    The chunks' texts, one after the other, are the whole dialogue; first_char
+    is where a chunk begins in it.  mask: array of (start, end) in characters of
+    the whole dialogue, end exclusive.  From a view without turns in a chunk the
+    mask is empty.
     """
     rows = _numbered(turns, chunk)
     participants = rows.where("speaker <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
@@ -92,12 +96,23 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
             .alias("spans"),
         ),
     )
-    return rendered.select(
-        "conv_id",
-        "perspective",
-        F.col("chunk").cast("long").alias("chunk"),
-        F.size("parts").cast("long").alias("n_turns"),
-        F.size(F.filter("parts", lambda p: p["own"])).cast("long").alias("n_own"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
-        sizes["spans"].alias("mask"),
+    drawn = stored(
+        rendered.select(
+            "conv_id",
+            "perspective",
+            F.col("chunk").cast("long").alias("chunk"),
+            F.size("parts").cast("long").alias("n_turns"),
+            F.size(F.filter("parts", lambda p: p["own"])).cast("long").alias("n_own"),
+            F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
+            sizes["spans"].alias("mask"),
+        ),
+        "chunks",
+    )
+    before = Window.partitionBy("conv_id", "perspective").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = drawn.select("conv_id", "perspective", "chunk", F.length("text").cast("long").alias("n"))
+    starts = lengths.select(
+        F.col("conv_id").alias("_conv"), F.col("perspective").alias("_view"), F.col("chunk").alias("_chunk"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_char")
     )
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_view")) & (F.col("chunk") == F.col("_chunk"))
+    moved = F.transform("mask", lambda m: F.struct((m["start"] + F.col("first_char")).alias("start"), (m["end"] + F.col("first_char")).alias("end")))
+    return drawn.join(starts, same).select("conv_id", "perspective", "chunk", "n_turns", "n_own", "first_char", "text", moved.alias("mask"))

@@ -232,10 +232,10 @@ WITH t AS (
            text || '<|im_end|>' || chr(10) AS body
     FROM t JOIN (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system') p ON p.conv_id IS NOT DISTINCT FROM t.conv_id
 ), placed AS (
-    SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY nth) AS stop FROM views
+    SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY nth) AS stop FROM views
 )
 SELECT conv_id, perspective, chunk::BIGINT AS chunk, count(*)::BIGINT AS n_turns, count(*) FILTER (own)::BIGINT AS n_own,
-       string_agg(head || body, '' ORDER BY nth) AS text,
+       min(stop - length(head) - length(body))::BIGINT AS first_char, string_agg(head || body, '' ORDER BY nth) AS text,
        coalesce(string_agg((stop - length(body))::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY nth) FILTER (own), '') AS mask
 FROM placed GROUP BY conv_id, perspective, chunk
 """

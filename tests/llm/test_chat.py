@@ -15,21 +15,23 @@ def brute(rows, chunk):
     for conv, turns in talks.items():
         turns.sort()
         for me in sorted({t[2] for t in turns} - {"system"}):
+            before = 0
             for at in range(0, len(turns), chunk):
                 text, mask = "", []
                 for *_, who, said in turns[at : at + chunk]:
                     text += chat.START + ("assistant" if who == me else "system" if who == "system" else f"user name={who}") + "\n"
-                    begin = len(text)
+                    begin = before + len(text)
                     text += said + chat.STOP
                     if who == me:
-                        mask.append((begin, len(text)))
+                        mask.append((begin, before + len(text)))
                 n = len(turns[at : at + chunk])
-                out.append((conv, me, at // chunk, n, len(mask), text, mask))
+                out.append((conv, me, at // chunk, n, len(mask), before, text, mask))
+                before += len(text)
     return sorted(out, key=str)
 
 
 def got(df, chunk):
-    return sorted(((*tuple(r)[:6], [tuple(s) for s in r.mask]) for r in chat.perspectives(df, chunk).collect()), key=str)
+    return sorted(((*tuple(r)[:7], [tuple(s) for s in r.mask]) for r in chat.perspectives(df, chunk).collect()), key=str)
 
 
 ROWS = [
@@ -46,6 +48,7 @@ ROWS = [
     (None, 1, "assistant", "x" * 100_000),
     *[(4, i // 3, "user" if i % 2 else "assistant", f"t{i % 5}") for i in range(200)],
     *[(5, i * 3000, "user", "far") for i in range(5)],
+    *[(6, i, ["user", "assistant", "anna"][i % 3], f"turn {i}" + "é" * (i % 11)) for i in range(2000)],
 ]
 
 
@@ -56,5 +59,21 @@ def test_equals_plain_rendering(spark, monkeypatch, chunk):
     assert got(df, chunk) == brute(ROWS, chunk)
 
 
+def test_masks_of_a_long_conversation_hold_in_its_whole_text(spark):
+    """2,000 turns at the default size: chunks put together are the dialogue, and every mask marks what its speaker says."""
+    df = spark.createDataFrame([(*r, "c", 1) for r in ROWS if r[0] == 6], SCHEMA)
+    views = defaultdict(list)
+    for r in chat.perspectives(df).collect():
+        views[r.perspective].append(r)
+    assert set(views) == {"user", "assistant", "anna"}
+    for me, chunks in views.items():
+        chunks.sort(key=lambda r: r.chunk)
+        assert len(chunks) == 4
+        whole = "".join(r.text for r in chunks)
+        assert [whole[r.first_char :].startswith(r.text) for r in chunks] == [True] * 4
+        said = [whole[s.start : s.end] for r in chunks for s in r.mask]
+        assert said == [t + chat.STOP for _, _, who, t in sorted(x for x in ROWS if x[0] == 6) if who == me]
+
+
 def test_empty(spark):
     assert chat.perspectives(spark.createDataFrame([], SCHEMA)).collect() == []

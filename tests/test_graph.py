@@ -137,3 +137,36 @@ def test_bubble_component_is_dropped(spark):
         spark, [(1, 2, "MASTER", 0.5), (1, 3, "SLAVE", 0.5), (2, 4, "SLAVE", 0.5), (3, 4, "MASTER", 0.5)]
     )
     assert flags == {} and edges == []
+
+
+def _reach(spark, pairs, n):
+    vertices = spark.createDataFrame([(v, v * 10, v % 3) for v in range(n)], "vertex long, m_ctg long, s_ctg long")
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    out = []
+    for graph in (edges, ag.reversed_edges(edges)):
+        out.append({(r.start, r.asm, r.ctg) for r in ag.next_contigs(vertices, graph, vertices).collect()})
+    return out
+
+
+def _closure(pairs, n):
+    near = {v: [] for v in range(n)}
+    for a, b in pairs:
+        near[a].append(b)
+    out = set()
+    for v in range(n):
+        seen, todo = {v}, [v]
+        while todo:
+            for w in near[todo.pop()]:
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        out |= {(v, "m", w * 10) for w in seen} | {(v, "s", w % 3) for w in seen}
+    return out
+
+
+def test_reachable_contigs(spark):
+    """A chain, a bubble, a ring without a way in, a ring behind a fork, and a lone vertex."""
+    pairs = [(0, 1), (1, 2), (2, 3), (2, 4), (3, 5), (4, 5), (5, 6), (8, 9), (9, 10), (10, 8), (11, 12), (12, 13), (13, 12), (11, 14)]
+    forward, back = _reach(spark, pairs, 16)
+    assert forward == _closure(pairs, 16)
+    assert back == _closure([(b, a) for a, b in pairs], 16)

@@ -85,32 +85,34 @@ def same(got, want):
         assert got[k][1] == ("?" if abs(p - 0.5) < 1e-11 else "+" if p > 0.5 else "-"), k
 
 
-def test_rings_in_a_row_with_tails_and_zeros(spark):
-    rows = [
-        (0, 0, 9, 1), (0, 1, 10, 0), (1, 0, 8, 2), (1, 1, 0, 5), (1, 2, 7, 0), (2, 2, 3, 1), (2, 3, 0, 9), (3, 3, 8, 1), (3, 2, 1, 6), (4, 3, 2, 2), (9, 9, 5, 5),
-    ]
-    want = explicit(rows)
-    same(strands(spark, rows), want)
-
-
 def test_a_ring_takes_both_ways_round():
     """What the two ways round a ring of four say, by hand."""
     want = explicit([(0, 0, 10, 0), (0, 1, 10, 0), (1, 0, 10, 0), (1, 1, 0, 5)])
     assert abs(want[("m", 1)] - 10 / 15) < 1e-12
 
 
-def test_random_graphs(spark):
-    r = random.Random(5)
+def rings_in_a_row():
+    return [
+        (0, 0, 9, 1), (0, 1, 10, 0), (1, 0, 8, 2), (1, 1, 0, 5), (1, 2, 7, 0), (2, 2, 3, 1), (2, 3, 0, 9), (3, 3, 8, 1), (3, 2, 1, 6), (4, 3, 2, 2), (9, 9, 5, 5),
+    ]
+
+
+def random_pairs(seed):
+    r = random.Random(seed)
     pairs = sorted({(r.randrange(40), r.randrange(40)) for _ in range(90)})
     kinds = [lambda: (r.randint(0, 9), r.randint(1, 9)), lambda: (r.randint(1, 9), 0), lambda: (3, 3), lambda: (0, r.randint(1, 9))]
-    rows = [(m, s, *r.choice(kinds)()) for m, s in pairs]
-    same(strands(spark, rows), explicit(rows))
+    return [(m, s, *r.choice(kinds)()) for m, s in pairs]
+
+
+def all_pairs(n, seed):
+    """Millions of simple paths."""
+    r = random.Random(seed)
+    return [(m, s, *((9, r.randint(0, 3)) if (m + s) % 3 else (r.randint(0, 3), 9))) for m in range(n) for s in range(n)]
 
 
-def test_a_dense_component_has_no_cap(spark):
-    """10 x 10 contigs, all pairs: millions of simple paths, answered by sums."""
-    r = random.Random(6)
-    rows = [(m, s, *((9, r.randint(0, 3)) if (m + s) % 3 else (r.randint(0, 3), 9))) for m in range(10) for s in range(10)]
+def test_rings_tails_zeros_random_and_dense_graphs(spark):
+    """Components of each kind side by side; none is capped."""
+    rows = [(m + 1000 * k, s + 1000 * k, p, n) for k, graph in enumerate([rings_in_a_row(), random_pairs(5), random_pairs(8), all_pairs(10, 6)]) for m, s, p, n in graph]
     same(strands(spark, rows), explicit(rows))
 
 

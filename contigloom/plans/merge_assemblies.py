@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from contigloom.operators import coverage
 from contigloom.operators import edges as ev
 from contigloom.operators import forks as fk
 from contigloom.operators import merge as mg
+from contigloom.operators import sequence_tiles as sq
 from contigloom.operators import strands as st
 from contigloom.session import cut_lineage
 
@@ -33,6 +34,16 @@ class Assembly:
     mp_aln: DataFrame | None = None
     mp_stats: DataFrame | None = None
 
+    @cached_property
+    def _tiles(self) -> dict[str, DataFrame]:
+        return {}
+
+    def tiles(self, side: str) -> DataFrame:
+        """The sequences as tiles, written once; ``side`` is m or s."""
+        if side not in self._tiles:
+            self._tiles[side] = cut_lineage(sq.tiles(self.contigs, side))
+        return self._tiles[side]
+
     @property
     def dictionary(self) -> DataFrame:
         return self.contigs.select("ctg_id", "name", "length")
@@ -144,11 +155,14 @@ def resolve(graph: Graph, weighted: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return cut_lineage(v), cut_lineage(e), classes
 
 
+def tile_store(master: Assembly, slave: Assembly) -> DataFrame:
+    return master.tiles("m").unionByName(slave.tiles("s"))
+
+
 def align_lists(graph: Graph, lists: DataFrame, master: Assembly, slave: Assembly) -> DataFrame:
     """Alignment extents of the merge blocks in ``lists``."""
-    rows = al.chain_rows(graph.vertices, graph.member, master.contigs, slave.contigs)
-    flags = lists.select("vertex", "m_ltail", "m_rtail", "s_ltail", "s_rtail")
-    return cut_lineage(al.align_merge_blocks(rows.join(flags, "vertex")))
+    rows = al.chain_frames(graph.vertices, graph.member).join(lists.select("vertex", *al.FLAGS), "vertex")
+    return cut_lineage(al.align_merge_blocks(rows, tile_store(master, slave)))
 
 
 def merge(blocks_before: DataFrame, blocks: DataFrame, master: Assembly, slave: Assembly) -> Merged:
@@ -181,7 +195,7 @@ def merge(blocks_before: DataFrame, blocks: DataFrame, master: Assembly, slave:
 
 
 def merged_pieces(result: Merged, master: Assembly, slave: Assembly) -> DataFrame:
-    return mg.segment_bases(result.segments, master.contigs, slave.contigs)
+    return mg.segment_bases(result.segments, tile_store(master, slave))
 
 
 def write(result: Merged, master: Assembly, slave: Assembly, prefix: str) -> None:

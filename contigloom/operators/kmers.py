@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigloom.operators.tiled import exclusive_prefix, island_starts, ordered_neighbours
+from contigloom.operators.tiled import exclusive_prefix, ordered_neighbours
 from contigloom.session import cut_lineage, spread
 
 WORD = 20
 _CHUNK = 256
-# beyond this many position pairs a word takes the run path
-_DIRECT_PAIRS = 4096
 
 
 def words(df: DataFrame, id_col: str, seq: Column, word: int = WORD) -> DataFrame:
@@ -40,55 +36,62 @@ def words(df: DataFrame, id_col: str, seq: Column, word: int = WORD) -> DataFram
 
 
 def _runs(positions: DataFrame, id_col: str) -> DataFrame:
-    """Consecutive positions of one word as (begin, length)."""
-    rows = positions.withColumn("last", F.col("at"))
-    labelled = island_starts(rows, [id_col, "word"], "at", "last", "begin")
-    return labelled.groupBy(id_col, "word", "begin").agg(F.count("*").alias("len"))
+    """Places of one word at equal distances as (begin, step, len); a place alone has len 1."""
+    keys = [id_col, "word"]
+    near = ordered_neighbours(positions, keys, "at", [F.col("at")], ["at"]).withColumn("gap", F.col("at") - F.col("prev_at"))
+    near = ordered_neighbours(near.select(*keys, "at", "gap"), keys, "at", [F.col("at")], ["gap"])
+    opens = ~F.coalesce(F.col("gap") == F.col("prev_gap"), F.lit(False))
+    marked = near.select(*keys, "at", "gap", F.when(opens, F.col("at")).alias("open"))
+    labelled = exclusive_prefix(marked, keys, "at", {"last": ("max", "open")})
+    runs = labelled.groupBy(*keys, F.coalesce("open", "last").alias("begin")).agg(F.count("*").alias("len"), F.max("gap").alias("step"))
+    return runs.withColumn("step", F.when(F.col("len") > 1, F.col("step")).otherwise(1))
 
 
 def _run_diagonals(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
-    """Hits per diagonal of words with many positions, without listing the pairs.
+    """Hits per diagonal of repeated words, without listing the pairs of their places.
 
-    Two runs of lengths L and M meet on a trapezoid of diagonals, which four
-    impulses describe; summing the impulses twice gives the counts.
+    Two runs of lengths L and M and one step meet on a trapezoid over every
+    step-th diagonal, which four impulses describe; summing the impulses twice
+    gives the counts.  Of two runs with unlike steps the shorter one is taken
+    place by place.
     """
     ra = _runs(a, id_col)
-    rb = _runs(b, id_col).select(id_col, "word", F.col("begin").alias("b_begin"), F.col("len").alias("b_len"))
-    low = F.col("begin") - F.col("b_begin") - F.col("b_len") + 1
-    impulses = ra.join(rb, [id_col, "word"]).select(
-        id_col,
-        F.explode(
-            F.array(
-                F.struct(low.alias("d"), F.lit(1).cast("long").alias("w")),
-                F.struct((low + F.col("len")).alias("d"), F.lit(-1).cast("long").alias("w")),
-                F.struct((low + F.col("b_len")).alias("d"), F.lit(-1).cast("long").alias("w")),
-                F.struct((low + F.col("len") + F.col("b_len")).alias("d"), F.lit(1).cast("long").alias("w")),
-            )
-        ).alias("i"),
+    rb = _runs(b, id_col).select(id_col, "word", *[F.col(c).alias(f"b_{c}") for c in ("begin", "len", "step")])
+    fits = F.expr("len = 1 OR b_len = 1 OR step = b_step")
+    met = ra.join(rb, [id_col, "word"]).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.when(fits, 0).otherwise(F.least("len", "b_len") - 1))).alias("i"),
+        (~fits & F.expr("len <= b_len")).alias("a_alone"), (~fits & F.expr("len > b_len")).alias("b_alone"),
     )
-    points = impulses.groupBy(id_col, F.col("i.d").alias("d")).agg(F.sum("i.w").alias("w"))
-    points = points.withColumn("wd", F.col("w") * F.col("d"))
-    run = exclusive_prefix(points, [id_col], "d", {"_s": ("sum", "w"), "_x": ("sum", "wd")})
-    run = run.select(id_col, "d", (F.col("_s") + F.col("w")).alias("s"), (F.col("_x") + F.col("wd")).alias("x"))
-    spans = ordered_neighbours(run, [id_col], "d", [F.col("d")], ["d"]).where("next_d > d AND next_d > 0 AND (s <> 0 OR x <> 0)")
-    first = F.greatest("d", F.lit(0).cast("long"))
-    parts = spans.select(
-        id_col, "s", "x", "next_d",
-        F.explode(F.sequence(first, F.col("next_d") - 1, F.lit(65536).cast("long"))).alias("from"),
-    )
-    every = parts.select(
-        id_col, "s", "x",
-        F.explode(F.sequence(F.col("from"), F.least(F.col("from") + 65535, F.col("next_d") - 1))).alias("diag"),
+    met = met.select(
+        id_col,
+        F.expr("begin + i * IF(a_alone, step, 0)").alias("begin"), F.expr("IF(a_alone, 1, len)").alias("len"),
+        F.expr("b_begin + i * IF(b_alone, b_step, 0)").alias("b_begin"), F.expr("IF(b_alone, 1, b_len)").alias("b_len"),
+        F.expr("IF(a_alone OR len = 1, b_step, step)").alias("step"),
     )
-    return every.select(id_col, "diag", ((F.col("diag") + 1) * F.col("s") - F.col("x")).alias("hits")).where("hits > 0")
+    low = met.withColumn("d", F.expr("begin - b_begin - (b_len - 1) * step")).withColumn("rest", F.expr("pmod(d, step)"))
+    at = F.expr("(d - rest) div step")
+    impulse = [F.struct((at + more).alias("k"), F.lit(w).cast("long").alias("w")) for more, w in (
+        (F.lit(0), 1), (F.col("len"), -1), (F.col("b_len"), -1), (F.col("len") + F.col("b_len"), 1)
+    )]
+    impulses = low.select(id_col, "step", "rest", F.explode(F.array(*impulse)).alias("p"))
+    keys = [id_col, "step", "rest"]
+    points = impulses.groupBy(*keys, F.col("p.k").alias("k")).agg(F.sum("p.w").alias("w")).withColumn("wk", F.col("w") * F.col("k"))
+    run = exclusive_prefix(points, keys, "k", {"_s": ("sum", "w"), "_x": ("sum", "wk")})
+    run = run.select(*keys, "k", (F.col("_s") + F.col("w")).alias("s"), (F.col("_x") + F.col("wk")).alias("x"))
+    spans = ordered_neighbours(run, keys, "k", [F.col("k")], ["k"]).where("next_k > k AND next_k > 0 AND (s <> 0 OR x <> 0)")
+    first = F.greatest("k", F.lit(0).cast("long"))
+    parts = spans.select(*keys, "s", "x", "next_k", F.explode(F.sequence(first, F.col("next_k") - 1, F.lit(65536).cast("long"))).alias("from"))
+    every = parts.select(*keys, "s", "x", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + 65535, F.col("next_k") - 1))).alias("k"))
+    counted = every.select(id_col, F.expr("rest + step * k").alias("diag"), ((F.col("k") + 1) * F.col("s") - F.col("x")).alias("hits"))
+    return counted.where("hits > 0")
 
 
 def diagonal_hits(a_words: DataFrame, b_words: DataFrame, id_col: str) -> DataFrame:
     """(id, diag, hits): shared words per diagonal ``a - b >= 0``.
 
     One aggregate over both sides finds the shared words and settles those that
-    occur once on each side; only repeated words are joined, and of those the
-    frequent ones go through runs.
+    occur once on each side; only repeated words are joined, as runs of places
+    at equal distances.
     """
     nothing = F.lit(None).cast("long")
     both = a_words.select(id_col, "word", F.col("at").alias("a"), nothing.alias("b")).unionByName(
@@ -99,30 +102,12 @@ def diagonal_hits(a_words: DataFrame, b_words: DataFrame, id_col: str) -> DataFr
         .agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.min("a").alias("a"), F.min("b").alias("b"))
         .where("na > 0 AND nb > 0")
     )
-    found = [
-        shared.where("na = 1 AND nb = 1 AND a >= b").groupBy(id_col, (F.col("a") - F.col("b")).alias("diag")).agg(F.count("*").alias("hits"))
-    ]
-    repeated = shared.where("na > 1 OR nb > 1")
-    # na * nb as doubles: the product may not fit a long
-    heavy = repeated.where(F.col("na").cast("double") * F.col("nb") > _DIRECT_PAIRS).select(id_col, "word")
-    light = repeated.where(F.col("na").cast("double") * F.col("nb") <= _DIRECT_PAIRS).select(id_col, "word")
-    if light.limit(1).count():
-        other = b_words.join(light, [id_col, "word"], "left_semi").select(id_col, "word", F.col("at").alias("b_at"))
-        found.append(
-            a_words.join(light, [id_col, "word"], "left_semi")
-            .join(other, [id_col, "word"])
-            .where("at >= b_at")
-            .groupBy(id_col, (F.col("at") - F.col("b_at")).alias("diag"))
-            .agg(F.count("*").alias("hits"))
-        )
-    if heavy.limit(1).count():
-        found.append(
-            _run_diagonals(
-                a_words.join(heavy, [id_col, "word"], "left_semi"), b_words.join(heavy, [id_col, "word"], "left_semi"), id_col
-            )
-        )
-    hits = reduce(DataFrame.unionByName, found)
-    return hits if len(found) == 1 else hits.groupBy(id_col, "diag").agg(F.sum("hits").alias("hits"))
+    single = shared.where("na = 1 AND nb = 1 AND a >= b").groupBy(id_col, (F.col("a") - F.col("b")).alias("diag")).agg(F.count("*").alias("hits"))
+    repeated = shared.where("na > 1 OR nb > 1").select(id_col, "word")
+    if repeated.isEmpty():
+        return single
+    again = _run_diagonals(*[w.join(repeated, [id_col, "word"], "left_semi") for w in (a_words, b_words)], id_col)
+    return single.unionByName(again).groupBy(id_col, "diag").agg(F.sum("hits").alias("hits"))
 
 
 def best_diagonals(a_words: DataFrame, b_words: DataFrame, id_col: str) -> DataFrame:

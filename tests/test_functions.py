@@ -114,12 +114,27 @@ def test_seed_diagonals_with_frequent_words(spark):
     rnd = random.Random(2)
     plain = "".join(rnd.choice("ACGT") for _ in range(200))
     cases = [(plain, plain[30:150]), ("A" * 150 + plain, plain[:60] + "A" * 140), ("A" * 120, "A" * 110)]
+    # repeats of two and three bases, the same word at unlike distances on the two sides, and repeats cut by other bases
+    spaced = lambda n, k: (plain[:20] + plain[60 : 60 + n]) * k
+    cases += [("AC" * 60, "AC" * 45 + plain[:40]), ("ACG" * 40, "CGA" * 30 + "AC" * 20), (spaced(3, 7), spaced(5, 4)), (spaced(5, 3) + spaced(2, 4), spaced(2, 5))]
+    cases += [(("AC" * 20 + "G") * 3, "CA" * 30 + "T" + "AC" * 25), ("", plain), (plain, "AC")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "id int, a string, b string")
     hits = kmers.diagonal_hits(kmers.words(df, "id", F.col("a")), kmers.words(df, "id", F.col("b")), "id").collect()
     for i, (a, b) in enumerate(cases):
         assert {r.diag: r.hits for r in hits if r.id == i} == _diagonals(a, b)
 
 
+def test_seeds_of_a_long_repeat_of_two_bases(spark):
+    """100,000 places of two words on either side: 2.5 billion pairs, in closed form."""
+    n, m = 100_000, 90_000
+    df = spark.createDataFrame([(1, "AC" * (n // 2), "AC" * (m // 2))], "id int, a string, b string")
+    hits = kmers.diagonal_hits(kmers.words(df, "id", F.col("a")), kmers.words(df, "id", F.col("b")), "id")
+    wa, wb = n - 19, m - 19
+    want = F.least(F.lit(wb), wa - F.col("diag"))
+    row = hits.agg(F.count("*").alias("n"), F.count_if(F.col("hits") != want).alias("wrong"), F.count_if(F.col("diag") % 2 == 1).alias("odd")).first()
+    assert (row.n, row.wrong, row.odd) == ((wa + 1) // 2, 0, 0)
+
+
 def test_bam_round_trip_index_and_tags(spark, tmp_path):
     bam.register(spark)
     path = str(tmp_path / "out")

@@ -8,9 +8,11 @@ number of digits) are always selected; of the other kinds the trees select.
 
 Labels are weak: whether a candidate passes the check of its kind, which the
 trees do not see (address parts, Luhn and mod-97 sums, digits and letters
-mixed).  Trees are fitted on a bounded sample: of each kind at most ``SAMPLE``
-distinct candidates (by text and features, so copies of a document count once),
-chosen by hash, every other one for thresholds.
+mixed).  Trees and thresholds come from all distinct candidates (by text and
+features, so copies of a document count once), every other one for thresholds.
+Candidates that look the same are one row with their number, and the numbers of
+a kind weigh together as much as ``SAMPLE`` candidates at most, so that a common
+kind leaves room for rare ones.
 Fitted trees become one expression, so all texts are scored where they are
 read: no shuffle, no row identity.
 
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 
 SAMPLE = 8000
 TREES, DEPTH = 8, 3
+#: Values of a feature between which trees can cut; up to its square of rows Spark ML looks at all of them.
+BINS = 1024
 PRECISION = 0.95
 AROUND = 24
 
@@ -185,40 +189,61 @@ def _node(node):
     return split.featureIndex(), split.threshold(), _node(node.leftChild()), _node(node.rightChild())
 
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """(kind, place, label, f_...) of at most SAMPLE distinct candidates of each kind; places count from 1 in each kind."""
+def _candidate_rows(docs: DataFrame) -> DataFrame:
+    """(pii_text, span) of every candidate of every text."""
     rows = candidates(docs.select("text"))
-    every = rows.select("pii_text", F.explode(F.concat(*[F.col(f"pii_{k}") for k in PATTERNS])).alias("span"))
+    return rows.select("pii_text", F.explode(F.concat(*[F.col(f"pii_{k}") for k in PATTERNS])).alias("span"))
+
+
+def _facts(every: DataFrame) -> DataFrame:
+    """(kind, match, label, f_...) of candidates; a match has one row for each of its contexts."""
+    kind, match = F.col("span.kind"), F.col("span.match")
+    label = reduce(lambda c, k: c.when(kind == k, _passes(k, match)), list(PATTERNS)[1:], F.when(kind == "email", F.lit(True)))
+    features = [f.cast("double").alias(f"f_{n}") for f, n in zip(_features(kind, F.col("pii_text"), F.col("span")), FEATURES)]
+    return every.select(kind.alias("kind"), match.alias("match"), F.when(label, 1.0).otherwise(0.0).alias("label"), *features).distinct()
+
+
+def _sample(docs: DataFrame) -> DataFrame:
+    """(kind, place, label, f_...) of at most SAMPLE distinct candidates of each kind, to look at; places count from 1 in each kind."""
+    every = _candidate_rows(docs)
     # twice as many matches as needed are let through, for their number is known to a few hundredths only
     sizes = every.groupBy("span.kind").agg(F.approx_count_distinct("span.match").alias("n")).collect()  # a row per kind
     least = {r.kind: int((2 * SAMPLE / r.n - 0.5) * 2**64) for r in sizes if r.n > 2 * SAMPLE}
     kind, match = F.col("span.kind"), F.col("span.match")
     below = reduce(lambda c, k: c.when(kind == k, F.xxhash64(kind, match) < least[k]), least, F.when(F.lit(False), False)).otherwise(True)
-    label = reduce(lambda c, k: c.when(kind == k, _passes(k, match)), list(PATTERNS)[1:], F.when(kind == "email", F.lit(True)))
-    features = [f.cast("double").alias(f"f_{n}") for f, n in zip(_features(kind, F.col("pii_text"), F.col("span")), FEATURES)]
-    facts = every.where(below).select(kind.alias("kind"), match.alias("match"), F.when(label, 1.0).otherwise(0.0).alias("label"), *features).distinct()
-    # a match has one row for each of its contexts (five features of yes or no), so the window reads a bounded number
+    # a match has a bounded number of contexts (five features of yes or no), so the window reads a bounded number
     names = [f"f_{n}" for n in FEATURES]
     order = Window.partitionBy("kind").orderBy(F.xxhash64("kind", "match", *names), "match", *names)
-    return facts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).drop("match")
+    return _facts(every.where(below)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).drop("match")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(kind, learn, label, f_..., n): how many distinct candidates of all texts look like this.
+
+    Every other match, by hash, is learnt from; the rest set the thresholds.
+    """
+    facts = _facts(_candidate_rows(docs)).withColumn("learn", F.pmod(F.xxhash64("match", F.lit("half")), F.lit(2)) == 1)
+    return facts.groupBy("kind", "learn", "label", *[f"f_{n}" for n in FEATURES]).agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame) -> Judge:
-    """Trees and thresholds from a bounded sample of candidates of ``docs``."""
-    sample = _sample(docs).coalesce(1).cache()
-    half = F.col("place") % 2 == 1
-    labels = {r.label for r in sample.where(half).select("label").distinct().collect()}
-    if len(labels) < 2:
-        sample.unpersist()
+    """Trees and thresholds from all distinct candidates of ``docs``."""
+    counted = _counted(docs).cache()
+    sizes = counted.where("learn").groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()  # two rows per kind at most
+    if len({r.label for r in sizes}) < 2:
+        counted.unpersist()
         return Judge([], {})
+    of_kind = {k: sum(r.n for r in sizes if r.kind == k) for k in {r.kind for r in sizes}}
+    share = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(min(1.0, SAMPLE / 2 / of_kind[k]))), of_kind, F.when(F.lit(False), 1.0))
     learn = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="features")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label").fit(learn.transform(sample.where(half)))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=1, labelCol="label", weightCol="weight")
+    model = trees.fit(learn.transform(counted.where("learn").withColumn("weight", F.col("n") * share)))
     java = model._java_obj
     trees = [(w, _node(t.rootNode())) for w, t in zip(model.treeWeights, java.trees())]
     judge = Judge(trees, {})
-    judged = sample.where(~half).select("kind", "label", F.floor(judge.probability([F.col(f"f_{n}") for n in FEATURES]) * 50).alias("bin"))
-    bins = judged.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()  # at most 51 per kind
-    sample.unpersist()
+    judged = counted.where("not learn").select("kind", "label", "n", F.floor(judge.probability([F.col(f"f_{n}") for n in FEATURES]) * 50).alias("bin"))
+    bins = judged.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("good")).collect()  # at most 51 per kind
+    counted.unpersist()
     for kind in PATTERNS:
         n = good = 0
         judge.thresholds[kind] = 0.9

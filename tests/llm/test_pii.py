@@ -98,3 +98,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and {r.spans for r in rows} == {""}
     assert pii.report(no_docs, pii.fit(no_docs)).collect() == []
     assert pii.redact(odd_docs, judge).columns == odd_docs.columns
+
+
+def test_all_candidates_are_counted(spark, monkeypatch):
+    """Not a sample: what few of many candidates show decides as well."""
+    monkeypatch.setattr(pii, "SAMPLE", 20)
+    texts = [f"the {i}{i + 7} of {i * 31}." for i in range(100, 900)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii._counted(docs).collect()
+    found = {m for t in texts for m in re.findall(r"[0-9](?:[ -]?[0-9])+", t)}
+    assert sum(r.n for r in rows if r.kind == "card") == len(found) > 40 * pii.SAMPLE
+    learnt = sum(r.n for r in rows if r.learn)
+    assert 0.4 < learnt / sum(r.n for r in rows) < 0.6

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from contigloom.functions import banded
+from contigloom.operators.sequence_tiles import TILE
 from contigloom.operators.tiled import exclusive_prefix, ordered_neighbours
 from contigloom.session import cut_lineage, spread
 
@@ -13,15 +16,27 @@ _CHUNK = 256
 
 
 def words(df: DataFrame, id_col: str, seq: Column, word: int = WORD) -> DataFrame:
-    """(id, word, at) for every word of a sequence.
+    """The words of a sequence as stretches (id, at, bases, parts).
 
-    The sequence is cut in one pass into short overlapping pieces, because a
+    A stretch holds the words that begin at its places ``at``, ``at + 1``, ...; ``parts`` is
+    the number of stretches of the sequence.  Single words would take 20 times the room.
+    """
+    overlapping = rf"(?s)(?=(.{{1,{TILE + word - 1}}})).{{1,{TILE}}}"
+    cut = F.filter(F.regexp_extract_all(seq, F.lit(overlapping), F.lit(1)), lambda p: F.length(p) >= word)
+    parts = df.select(id_col, cut.alias("_cut")).select(id_col, F.size("_cut").alias("parts"), F.posexplode("_cut").alias("_n", "bases"))
+    return parts.select(id_col, (F.col("_n").cast("long") * TILE).alias("at"), "bases", "parts")
+
+
+def _listed(stretches: DataFrame, id_col: str, word: int = WORD) -> DataFrame:
+    """(id, word, at) for every word.
+
+    A stretch is cut in one pass into short overlapping pieces, because a
     substring far into a string costs its distance from the start.
     """
-    overlapping = rf"(?=(.{{1,{_CHUNK + word - 1}}})).{{1,{_CHUNK}}}"
+    overlapping = rf"(?s)(?=(.{{1,{_CHUNK + word - 1}}})).{{1,{_CHUNK}}}"
     pieces = (
-        df.select(id_col, F.posexplode(F.regexp_extract_all(seq, F.lit(overlapping), F.lit(1))).alias("n", "piece"))
-        .select(id_col, F.struct((F.col("n").cast("long") * _CHUNK).alias("base"), "piece").alias("p"))
+        stretches.select(id_col, "at", F.posexplode(F.regexp_extract_all("bases", F.lit(overlapping), F.lit(1))).alias("n", "piece"))
+        .select(id_col, F.struct((F.col("at") + F.col("n").cast("long") * _CHUNK).alias("base"), "piece").alias("p"))
         .where(F.length("p.piece") >= word)
     )
     return spread(pieces).select(
@@ -86,9 +101,45 @@ def _run_diagonals(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
     return counted.where("hits > 0")
 
 
+def _stretch_hits(batches):
+    """Shared words of two stretches per diagonal."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        rows, diags, counts = [], [], []
+        for k, (a_at, a, b_at, b) in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]])):
+            diag, hits = banded.shared_codes(*banded.letter_codes(a, b, WORD), a_at - b_at)
+            rows.append(np.full(len(diag), k))
+            diags.append(diag)
+            counts.append(hits)
+        if rows:
+            at, diag, hits = [np.concatenate(x).astype(np.int64) for x in (rows, diags, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(diag), pa.array(hits)], names=[batch.schema.names[0], "diag", "hits"])
+
+
 def diagonal_hits(a_words: DataFrame, b_words: DataFrame, id_col: str) -> DataFrame:
     """(id, diag, hits): shared words per diagonal ``a - b >= 0``.
 
+    Every word is in one stretch, so the hits of two sequences are the sum over
+    pairs of their stretches.  Where one sequence is a single stretch, the
+    stretches meet; where both have several, which would grow with the product of
+    their lengths, their words do.
+    """
+    a = a_words.select(id_col, F.col("at").alias("a_at"), F.col("bases").alias("a"), F.col("parts").alias("a_parts"))
+    b = b_words.select(F.col(id_col).alias("_b"), F.col("at").alias("b_at"), F.col("bases").alias("b"), F.col("parts").alias("b_parts"))
+    met = a.join(b, F.col(id_col).eqNullSafe(F.col("_b")) & F.expr("a_parts = 1 OR b_parts = 1")).select(id_col, "a_at", "a", "b_at", "b")
+    schema = StructType([a_words.schema[id_col], StructField("diag", LongType()), StructField("hits", LongType())])
+    near = met.mapInArrow(_stretch_hits, schema)
+    long_a, long_b = [cut_lineage(w.where("parts > 1")) for w in (a_words, b_words)]
+    if not (long_a.isEmpty() or long_b.isEmpty()):
+        near = near.unionByName(_long_hits(_listed(long_a, id_col), _listed(long_b, id_col), id_col))
+    return near.groupBy(id_col, "diag").agg(F.sum("hits").alias("hits"))
+
+
+def _long_hits(a_words: DataFrame, b_words: DataFrame, id_col: str) -> DataFrame:
+    """(id, diag, hits) of listed words (id, word, at).
+
     One aggregate over both sides finds the shared words and settles those that
     occur once on each side; only repeated words are joined, as runs of places
     at equal distances.

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from contigloom.functions import banded
 from contigloom.functions import cigar as cg
 from contigloom.functions import intervals as iv
 from contigloom.functions import sequence as sq
@@ -135,6 +136,22 @@ def test_seeds_of_a_long_repeat_of_two_bases(spark):
     assert (row.n, row.wrong, row.odd) == ((wa + 1) // 2, 0, 0)
 
 
+def test_seeds_of_stretches(spark, monkeypatch):
+    """One row per stretch and not per word; one stretch against several, several against several, many letters."""
+    rnd = random.Random(7)
+    plain = "".join(rnd.choice("ACGT") for _ in range(400))
+    many = "".join(rnd.choice("ACGTNRYKMSWBDHVacgt") for _ in range(150))
+    cases = [(plain, plain[70:120]), (plain[200:260], plain), (plain, plain[30:330]), (many, many[20:90]), ("AC" * 150, "AC" * 20), (plain[:64], plain[:83])]
+    df = spark.createDataFrame([(None if i == 3 else i, a, b) for i, (a, b) in enumerate(cases)] + [(9, plain, None)], "id int, a string, b string")
+    assert kmers.words(df.where("id = 0"), "id", F.col("a")).count() == 1
+    monkeypatch.setattr(kmers, "TILE", 64)
+    monkeypatch.setattr(banded, "CONVOLVED", 50)
+    hits = kmers.diagonal_hits(kmers.words(df, "id", F.col("a")), kmers.words(df, "id", F.col("b")), "id").collect()
+    for i, (a, b) in enumerate(cases):
+        assert {r.diag: r.hits for r in hits if r.id == (None if i == 3 else i)} == _diagonals(a, b)
+    assert not [r for r in hits if r.id == 9]
+
+
 def test_bam_round_trip_index_and_tags(spark, tmp_path):
     bam.register(spark)
     path = str(tmp_path / "out")

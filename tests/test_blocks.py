@@ -1,6 +1,7 @@
 import random
 
 from contigloom.operators import blocks as B
+from contigloom.operators import coverage, tiled
 
 SCHEMA = "m_ctg long, s_ctg long, m_start long, m_last long, s_start long, s_last long, name string, mate int, concordant boolean"
 
@@ -65,3 +66,31 @@ def test_collinear_islands_equal_greedy_in_tiles(spark, tiled):
         n = rnd.randint(5, 12)
         rows.append((s + 1000, s + 1000 + n, s, s + n, True))
     assert _got(B.blocks_by_islands(_pairs(spark, rows))) == _got(B.build_blocks(_pairs(spark, rows))) == _greedy(rows)
+
+
+def test_islands_keep_no_placements(spark, monkeypatch):
+    """Starts are labelled, not placements; of equal placements a concordant one is the seed."""
+    rnd = random.Random(11)
+    rows = []
+    for at in range(0, 4000, 130):
+        for _ in range(rnd.randrange(1, 5)):
+            s0 = at + rnd.randrange(3)
+            rows += [(s0, s0 + rnd.randrange(40, 43), s0, s0 + rnd.randrange(40, 43), rnd.random() < 0.5)] * rnd.randrange(1, 3)
+            rows.append((*rows[-1][:4], not rows[-1][4]))
+    stored = []
+    for module in (B, tiled):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, keep=module.cut_lineage: stored.append(df.columns) or keep(df))
+    assert _got(B.blocks_by_islands(_pairs(spark, rows))) == _greedy(rows)
+    assert _got(B.build_blocks(_pairs(spark, rows))) == _greedy(rows)
+    assert stored and not any("m_start" in columns for columns in stored)
+
+
+def test_frame_borders_are_counted_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(coverage, "cut_lineage", lambda df, keep=coverage.cut_lineage: stored.append(df.columns) or keep(df), raising=False)
+    reads = spark.createDataFrame([(0, p, p + 10) for p in range(0, 100, 4)] + [(0, 8, 18)], "ctg long, pos long, epos long")
+    frames = spark.createDataFrame([(0, 5, 20), (0, 8, 17), (0, 0, 200)], "ctg long, begin long, end long")
+    got = {(r.begin, r.end): r.reads_len for r in coverage.frame_reads_length(frames, reads, ["ctg", "begin", "end"]).collect()}
+    spans = [(p, p + 10) for p in range(0, 100, 4)] + [(8, 18)]
+    assert got == {(b, e): sum(max(min(e + 1, y) - max(b, x), 0) for x, y in spans) for b, e in ((5, 20), (8, 17), (0, 200))}
+    assert stored == [["ctg", "at", "bases"]]

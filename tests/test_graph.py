@@ -49,6 +49,64 @@ def test_chain_ranks_and_cycles(spark):
     assert got == {v: (order[0], i) for i, v in enumerate(order)}
 
 
+def _stored(spark, monkeypatch):
+    """Partitions as they are (not packed into one), and a list that grows with every stored table of ``components``."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    calls, store = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: calls.append(1) or store(df))
+    return calls
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """What follows the numbers is settled inside ranges, so rounds do not grow with the length."""
+    try:
+        calls = _stored(spark, monkeypatch)
+        pairs = [(i, i + 1) for i in range(6000)] + [(9000 + i, 9001 + i) for i in range(0, 600, 3)]
+        got = {r.vertex: r.component for r in C.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+        assert got == {v: 0 if v < 9000 else v - v % 3 for p in pairs for v in p}
+        assert len(calls) <= 12
+        calls.clear()
+        nodes = spark.createDataFrame([(0, None)] + [(i + 1, i) for i in range(6000)], "node long, prev long")
+        assert {r.node: (r.head, r.rank) for r in C.rank_chains(nodes).collect()} == {i: (0, i) for i in range(6001)}
+        assert len(calls) <= 6
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tour_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Masters 0, 2, 4, ... and slaves with far larger numbers in turn: the places follow the masters."""
+    from contigloom.operators import spanning as sp
+
+    n = 1500
+    rows = [(0, 2 * i, 2 * (j + 5000) + 1) for i in range(n) for j in (i, i + 1)]
+    try:
+        calls = _stored(spark, monkeypatch)
+        edges = spark.createDataFrame(rows, "component long, a long, b long")
+        tour = sp.euler_tour(edges, spark.createDataFrame([(0, 0)], "component long, u long")).collect()
+        assert len(calls) <= 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_rank = {r.rank: r for r in tour}
+    assert sorted(by_rank) == list(range(4 * n)) and by_rank[0].u == 0
+    assert all(by_rank[i].v == by_rank[i + 1].u for i in range(4 * n - 1))
+    assert all(by_rank[r.back].back == r.rank and (by_rank[r.back].u, by_rank[r.back].v) == (r.v, r.u) for r in tour)
+
+
+def test_random_and_ringed_lists_when_partitions_stay_apart(spark, monkeypatch):
+    """Nothing shrinks where neighbours lie apart: the doubling and the stars give the same."""
+    order = list(range(3000))
+    random.Random(5).shuffle(order)
+    rows = [(order[0], None)] + [(b, a) for a, b in zip(order, order[1:])] + [(5000, 9000), (9000, 5000), (7000, 9000), (8000, 8888)]
+    try:
+        _stored(spark, monkeypatch)
+        got = {r.node: (r.head, r.rank) for r in C.rank_chains(spark.createDataFrame(rows, "node long, prev long")).collect()}
+        assert got == {v: (order[0], i) for i, v in enumerate(order)}
+        pairs = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
+        assert {(r.vertex, r.component) for r in C.connected_components(pairs).collect()} == {(v, 0) for v in order}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def _classes(spark, pairs):
     vertices = spark.createDataFrame([(v, 0) for v in sorted({x for p in pairs for x in p})], "vertex long, component long")
     edges = spark.createDataFrame(pairs, "src long, dst long")

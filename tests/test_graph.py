@@ -92,6 +92,16 @@ def test_tour_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert all(by_rank[r.back].back == r.rank and (by_rank[r.back].u, by_rank[r.back].v) == (r.v, r.u) for r in tour)
 
 
+def test_tour_is_not_collected_by_the_driver(spark):
+    """Tables as long as the graph meet by shuffles, however small each is."""
+    from contigloom.operators import spanning as sp
+
+    edges = spark.createDataFrame([(0, 0, 1), (0, 2, 1), (0, 2, 3)], "component long, a long, b long")
+    tour = sp.euler_tour(edges, spark.createDataFrame([(0, 0)], "component long, u long"))
+    plan = tour._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_random_and_ringed_lists_when_partitions_stay_apart(spark, monkeypatch):
     """Nothing shrinks where neighbours lie apart: the doubling and the stars give the same."""
     order = list(range(3000))

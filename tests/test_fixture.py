@@ -1,6 +1,8 @@
 """Derived tables tell the planner their size."""
 
+from contigloom.operators.reads import read_pairs, usable_reads
 from contigloom.plans.catalog import queries
+from contigloom.plans.fixture import Tables
 
 
 def lineitem(spark, folder, n):
@@ -21,3 +23,15 @@ def test_long_sequences_are_not_broadcast(spark, tmp_path):
             assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pairs_read_stored_alignments(spark, tmp_path):
+    lineitem(spark, tmp_path, 4000)
+    t = Tables(spark, str(tmp_path))
+    stored = {f for aln in (t.master, t.slave) for f in aln.inputFiles()}
+    assert set(t.pairs.inputFiles()) == stored
+    # and without stored ones, the same rows
+    again = Tables(spark, str(tmp_path)).pairs
+    assert again.count() and again.exceptAll(t.pairs).isEmpty() and t.pairs.exceptAll(again).isEmpty()
+    want = read_pairs(*[usable_reads(t.alignments(side)) for side in "ms"])
+    assert want.exceptAll(t.pairs).isEmpty()

@@ -54,3 +54,27 @@ def test_create_and_merge_from_files(spark, tmp_path):
     row = stats_plan.fasta_stats(spark, str(tmp_path / "y.fasta")).first()
     assert row.total == len(whole) and row.contigs == len(merged)
     assert "Linears = 1" in "".join(p.read_text() for p in (tmp_path / "y.stats").glob("part-*"))
+
+
+def test_graph_tables_of_a_merge_are_not_broadcast(spark):
+    from contigloom.operators import assembly_graph as ag
+    from contigloom.operators import contig_sets as cs
+    from contigloom.operators import forks as fk
+    from contigloom.operators import merge as mg
+
+    hull = spark.createDataFrame([(c, c, c, 10 * c, 10 * c) for c in range(6)], "chain long, m_ctg long, s_ctg long, m_begin long, s_begin long")
+    vertices = fk.merge_vertices(hull)
+    edges = spark.createDataFrame([(c, c + 1, "MASTER", 0.9) for c in range(5)], "src long, dst long, kind string, weight double")
+    plans = {
+        "paths": ag.chain_paths(vertices, edges),
+        "lists": mg.merge_lists(vertices, edges),
+        "chains": ag.vertex_hull(
+            hull.selectExpr("chain AS vertex", "m_ctg", "s_ctg", "m_begin", "m_begin AS m_end", "s_begin", "s_begin AS s_end", "chain AS num_reads"),
+            hull.selectExpr("chain AS vertex", "chain"),
+        ),
+        "unused": cs.unused_contigs(hull.selectExpr("chain AS ctg_id"), hull.where("chain > 3").selectExpr("chain AS ctg_id")),
+    }
+    for name, df in plans.items():
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), name
+    assert {(r.vertex, r.head, r["rank"]) for r in plans["lists"].collect()} == {(c, 0, c) for c in range(6)}
+    assert [r.ctg_id for r in plans["unused"].orderBy("ctg_id").collect()] == [0, 1, 2, 3]

@@ -46,3 +46,15 @@ def test_neighbours_and_numbers_in_tiles(spark, tiled):
     assert sorted((tuple(r) for r in near.select("k", "p", "next_p", "prev_v").collect()), key=key) == sorted((tuple(r) for r in want.collect()), key=key)
     numbered = T.number_rows(df, "k", "p", [F.col("p")], "n", bits=3)
     assert [r.n for r in numbered.orderBy("k", "p").collect()] == list(range(df.count()))
+
+
+def test_tile_rows_are_not_broadcast(spark, tiled):
+    df = _rows(spark, 4)
+    made = {
+        "prefix": T.exclusive_prefix(df, ["k"], "p", {"s": ("sum", "v")}),
+        "islands": T.island_starts(df, ["k"], "p", "e", "i"),
+        "neighbours": T.ordered_neighbours(df, ["k"], "p", [F.col("p")], ["v"]),
+        "numbers": T.number_rows(df, "k", "p", [F.col("p")], "n"),
+    }
+    for name, out in made.items():
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString(), name

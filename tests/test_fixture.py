@@ -1,4 +1,6 @@
-"""Derived tables tell the planner their size."""
+"""Derived tables tell the planner their size, and are stored no longer than they are read."""
+
+import os
 
 from contigloom.operators.reads import read_pairs, usable_reads
 from contigloom.plans.catalog import queries
@@ -35,3 +37,39 @@ def test_pairs_read_stored_alignments(spark, tmp_path):
     assert again.count() and again.exceptAll(t.pairs).isEmpty() and t.pairs.exceptAll(again).isEmpty()
     want = read_pairs(*[usable_reads(t.alignments(side)) for side in "ms"])
     assert want.exceptAll(t.pairs).isEmpty()
+
+
+def test_contigs_alone_store_no_alignments(spark, tmp_path):
+    lineitem(spark, tmp_path, 400)
+    t = Tables(spark, str(tmp_path))
+    ids = [{r.ctg_id for r in t.contigs(side).collect()} for side in "ms"]
+    assert not {"master", "slave"} & set(t.__dict__)
+    assert ids == [set(range(aln.agg({"ctg": "max"}).first()[0] + 1)) for aln in (t.master, t.slave)]
+
+
+def test_alignments_for_a_while(spark, tmp_path):
+    lineitem(spark, tmp_path, 400)
+    t = Tables(spark, str(tmp_path))
+    with t.short_alignments("m") as aln:
+        files = [f.removeprefix("file://") for f in aln.inputFiles()]
+        assert files and all(map(os.path.exists, files)) and t.at_hand("m") is aln
+    assert not any(map(os.path.exists, files)) and "master" not in t.__dict__
+    with t.short_alignments("m") as aln:
+        assert aln.exceptAll(t.alignments("m")).isEmpty()
+    kept = t.slave
+    with t.short_alignments("s") as aln:
+        assert aln is kept
+    assert kept.count() == t.alignments("s").count()
+
+
+def test_bases_of_records_are_made_after_the_shuffle(spark, tmp_path):
+    from contigloom.plans.catalog_files import _records
+
+    lineitem(spark, tmp_path, 400)
+    t = Tables(spark, str(tmp_path))
+    rows = _records(t.master)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("md5(") < plan.index("Exchange rangepartitioning") and "md5(" not in plan[plan.index("Exchange rangepartitioning"):]
+    want = t.master.selectExpr("name", "ctg", "pos", "nh", "mctg", "len")
+    got = rows.selectExpr("name", "ref_id AS ctg", "pos", "nh", "mate_ref_id AS mctg", "length(seq) AS len")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

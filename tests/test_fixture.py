@@ -73,3 +73,17 @@ def test_bases_of_records_are_made_after_the_shuffle(spark, tmp_path):
     want = t.master.selectExpr("name", "ctg", "pos", "nh", "mctg", "len")
     got = rows.selectExpr("name", "ref_id AS ctg", "pos", "nh", "mate_ref_id AS mctg", "length(seq) AS len")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_windows_meet_and_are_aligned_where_they_are(spark, tmp_path):
+    from contigloom.plans.catalog_merge import banded_alignment
+
+    lineitem(spark, tmp_path, 4000)
+    t = Tables(spark, str(tmp_path))
+    rows = banded_alignment(t)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    bases = plan[plan.index("MapInPandas"):]
+    assert bases.index("SortMergeJoin") < bases.index("ObjectHashAggregate") < bases.index("Exchange")
+    # neither sequences beside their tiles nor alignments for the sake of the contigs
+    assert ("sequences", "m") not in t._stored and not {"master", "slave"} & set(t.__dict__)
+    assert rows.count() == t.blocks.count()

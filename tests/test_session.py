@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contigloom.operators import coverage as cv
 from contigloom.operators import reads as R
 from contigloom.operators import tiled as T
-from contigloom.session import cut_lineage, freed_shuffles, shared_folder, short_lived
+from contigloom.session import cut_lineage, freed_shuffles, result_only, shared_folder, short_lived
 
 KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -96,3 +96,23 @@ def test_last_master_alignment_wins_and_its_columns_travel_once(spark):
         got = sorted((r.name, r.s_ctg, r.m_ctg, r.m_start, r.m_last, r.concordant) for r in pairs.collect())
         assert got == [("a", 7, *first), ("b", 7, None, 3, 6, True), ("c", 7, 0, 1, 3, None), ("c", 8, 0, 1, 3, None)]
         assert "max_by" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_the_result_of_some_steps_stays(spark):
+    from contigloom.operators.blocks import blocks_by_islands
+
+    pairs = spark.createDataFrame(
+        [(1, 2, p, p + 9, p + 100, p + 109, True) for p in (0, 5, 40, 44)], "m_ctg long, s_ctg long, m_start long, m_last long, s_start long, s_last long, concordant boolean"
+    )
+    before = _tables(spark)
+    blocks = blocks_by_islands(pairs)
+    assert len(_tables(spark) - before) == 1
+    assert sorted((r.num_reads, r.m_begin, r.s_end, r.s_strand) for r in blocks.collect()) == [(2, 0, 114, "+"), (2, 40, 153, "+")]
+    assert blocks_by_islands(pairs, 3).isEmpty()
+    before = _tables(spark)
+
+    def inner():
+        return result_only(lambda: cut_lineage(cut_lineage(_grouped(spark)).where("k > 1"))).where("k > 2")
+
+    assert sorted(r.k for r in result_only(inner).collect()) == [3, 4, 5, 6]
+    assert len(_tables(spark) - before) == 1

@@ -116,3 +116,28 @@ def test_only_the_result_of_some_steps_stays(spark):
 
     assert sorted(r.k for r in result_only(inner).collect()) == [3, 4, 5, 6]
     assert len(_tables(spark) - before) == 1
+
+
+def test_blocks_free_the_join_of_their_pairs(spark, monkeypatch):
+    from contigloom.operators import blocks as B
+
+    sides = [
+        spark.createDataFrame([(f"r{i}", 1, i % 2, 7 * i, 7 * i + 20, False, 0) for i in range(200)], "name string, mate int, ctg long, pos long, epos long, rev boolean, lib_id int")
+        for _ in range(2)
+    ]
+    left = []
+    first = B._starts
+
+    def starts(placements, keys):
+        left.append((_gone(spark, before), "JOIN" in placements._jdf.queryExecution().optimizedPlan().toString().upper()))
+        return first(placements, keys)
+
+    monkeypatch.setattr(B, "_starts", starts)
+    for build in (B.blocks_by_islands, B.build_blocks):
+        tables, before = _tables(spark), _shuffle_files(spark)
+        blocks = build(R.read_pairs(*sides))
+        paths = [f.removeprefix("file://") for f in blocks.inputFiles()]
+        assert paths and all(map(os.path.exists, paths))
+        assert sum(r.num_reads for r in blocks.collect()) == 200
+        assert all("m_start" not in spark.read.parquet(f"{shared_folder(spark)}/{x}").columns for x in _tables(spark) - tables)
+    assert left == [(True, False)] * len(left) and left

@@ -47,7 +47,8 @@ def reverse_complement(t: Tables):
 )
 def subsequence(t: Tables):
     s = F.col("sequence")
-    joined = t.merge_blocks.join(t.sequences("m"), F.col("m_ctg") == F.col("ctg_id"))
+    # both grow with the input, so they meet by a shuffle
+    joined = t.merge_blocks.hint("merge").join(t.sequences("m"), F.col("m_ctg") == F.col("ctg_id"))
     return joined.select(
         "m_ctg", "s_ctg", long("m_begin").alias("m_begin"),
         sq.chop_borders(s, F.col("m_begin"), F.col("m_end")).alias("frame"),
